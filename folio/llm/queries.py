@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import fingerprint, media, packing, spm, toxicity, warc
+from folio.llm import fingerprint, license_scan, media, near_dedup, packing, spm, toxicity, warc
 from folio.llm.scratch import Scratch
 
 
@@ -31,6 +31,10 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(table(spark, sf_dir, "documents"))
 
@@ -52,13 +56,19 @@ def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probe(spark.read.parquet(path)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 QUERIES = {
     "op2_warc": warc_archive,
     "op3_sentencepiece": sentencepiece,
+    "op4_licenses": license_labels,
     "op6_fingerprints": fingerprints,
     "op7_toxicity": toxicity_scores,
     "op8_packing": best_fit_packing,
     "op9_media": media_columns,
+    "op10_near_dedup": near_duplicates,
 }
 
 _BASE32 = " || ".join(
@@ -73,4 +83,16 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_dige
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM p JOIN g USING (h)""",
+    "op10_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 75 * (na.n + nb.n - x)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(u) AS c FROM r GROUP BY v) c ON c.v = d.doc_id""",
 }

@@ -111,7 +111,7 @@ class Tagger:
 
     def document(self, expected: np.ndarray) -> np.ndarray:
         """Score of documents from the number of surely toxic words."""
-        z = self.scale[0] + self.scale[1] * np.log(expected + 1e-4)
+        z = self.scale[0] + self.scale[1] * np.minimum(expected, 3)
         return 1 / (1 + np.exp(-z))
 
 
@@ -202,7 +202,7 @@ def fit(sample: list[tuple[bytes, int]], rounds: int = 30) -> Tagger:
     p = marginals((np.bincount(wid, weights[fid], n_words) + weights[0])[words], ends, pairs)
     expected = np.zeros(len(docs))
     expected[full] = likely(p, ends)
-    return Tagger(weights, pairs, _logistic(np.log(expected + 1e-4), np.array([y for _, y in sample], float)))
+    return Tagger(weights, pairs, _logistic(np.minimum(expected, 3), np.array([y for _, y in sample], float)))
 
 
 def _pair_counts(scores: np.ndarray, ends: np.ndarray, pairs: np.ndarray, p: np.ndarray) -> np.ndarray:
