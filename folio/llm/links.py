@@ -21,7 +21,7 @@ BROADCAST_ROWS = 500_000
 #: Parts that the pairs of one id are dealt over.
 SALTS = 32
 #: Members of a bucket that are compared in one piece; larger buckets are cut into blocks, and each pair of blocks is a piece.
-BLOCK = 1024
+BLOCK = 2048
 
 
 def only(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -62,7 +62,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
     held: list[list] = []
 
     def columns(batch: pa.RecordBatch) -> list:
-        return [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
     for batch in batches:
         if not batch.num_rows:
@@ -82,38 +82,54 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def block_pairs(entries: DataFrame, likely: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(a, b), a < b, of one bucket but different groups whose sketches pass `likely`.
+def hits(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets, none empty, shares with x; all are sorted and distinct."""
+    flat = np.concatenate(sets)
+    found = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.add.reduceat(found.astype(np.int64), np.cumsum([0, *(len(s) for s in sets[:-1])]))
 
-    entries: (bucket, id, grp, sketch, n), n the bucket's rows. A bucket of more than BLOCK
-    rows is cut into blocks by hash, and each pair of blocks is dealt on its own. Pairs are
-    made in NumPy and only those that pass become rows.
+
+def block_links(entries: DataFrame, likely: Callable[[np.ndarray, np.ndarray], np.ndarray], share: int = SHARE) -> DataFrame:
+    """The links (a, b) of one bucket between different groups, confirmed in place on full sets.
+
+    entries: (bucket, nth, id, grp, sketch, bands, items, n): n the bucket's rows, nth its
+    band. A bucket of more than BLOCK rows is cut into blocks by hash, and each pair of
+    blocks is dealt on its own. Pairs are compared in NumPy, in the first band that they
+    share, by sketch and then by set; only links become rows. Groups that a link joins
+    are one for the rest of the piece.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = (
-        entries.withColumn("blocks", blocks)
-        .withColumn("own", own)
+        entries.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "grp", "sketch")
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nth", "id", "grp", "sketch", "bands", "items")
     )
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, i, j, own, ids, grp, sketch in runs(batches, 3):
+        for _, i, j, own, nth, ids, grp, sketch, band, items in runs(batches, 3):
             bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(ids), -1)
+            keys = np.stack(band)
+            sets = [np.frombuffer(x, np.uint64) for x in items]
+            sizes, grp = np.array([len(x) for x in sets]), grp.copy()
             left = np.flatnonzero(own == i[0])
             right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
-            out: list[np.ndarray] = []
+            found: list[tuple[int, int]] = []
             for x in left.tolist():
                 y = right[right > x] if i[0] == j[0] else right
                 y = y[grp[y] != grp[x]]
                 y = y[likely(bits[x], bits[y])]
-                if len(y):
-                    out.append(np.stack([np.full(len(y), ids[x]), ids[y]]))
-            if out:
-                p = np.concatenate(out, 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(p.min(0)), pa.array(p.max(0))], names=["a", "b"])
+                y = y[(keys[y] == keys[x]).argmax(1) == nth[0]] if len(y) else y
+                if not len(y):
+                    continue
+                both = hits(sets[x], [sets[k] for k in y])
+                for k in y[100 * both >= share * (sizes[x] + sizes[y] - both)].tolist():
+                    if grp[k] != grp[x]:
+                        found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+                        grp[grp == grp[k]] = grp[x]
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 

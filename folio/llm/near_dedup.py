@@ -9,8 +9,8 @@
 3. In each bucket of a band, all classes are compared with the one that has the most
    bucket mates; the sketch drops pairs far below the threshold, full sets confirm.
 4. Where a bucket still holds several components, its remaining pairs across components
-   are compared by sketch in NumPy blocks, and the likely ones confirmed. So no group's
-   pairs are written out, and no link between components of a bucket is missed.
+   are compared by sketch in NumPy blocks, and the likely ones confirmed in place. So no
+   group's pairs are written out, and no link between components of a bucket is missed.
 """
 
 from __future__ import annotations
@@ -126,9 +126,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, sig: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of the class representatives that have a link."""
-    entries = classes.select(F.col("rep.doc_id").alias("id"), "rep.sketch", F.explode("rep.bands").alias("bucket"))
+    entries = classes.select(F.col("rep.doc_id").alias("id"), "rep.sketch", F.posexplode("rep.bands").alias("nth", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.save(entries.select("id", "bucket").join(shared, "bucket"), "met")
+    met = scratch.save(entries.select("id", "nth", "bucket").join(shared, "bucket"), "met")
     mates = met.groupBy("id").agg(F.sum("n").alias("mates"))
     centre = met.join(mates, "id").groupBy("bucket").agg(F.max_by("id", F.struct("mates", -F.col("id"))).alias("centre"))
     star = met.join(centre, "bucket").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -146,15 +146,15 @@ def near_links(docs: DataFrame, sig: DataFrame, classes: DataFrame, scratch: Scr
     sets = scratch.save(shingle_sets(links.only(docs.select("doc_id", "text"), ids)).groupBy("id").agg(F.min("items").alias("items")), "sets")
     found = scratch.save(links.verified(star, sets), "links")
     group = links.components(found, scratch)
-    open_ = met.join(group, "id", "left").withColumn("grp", F.coalesce("component", "id")).select("bucket", "id", "grp", "n")
+    open_ = met.join(group, "id", "left").withColumn("grp", F.coalesce("component", "id")).select("bucket", "nth", "id", "grp", "n")
     mixed = open_.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("bucket")
-    rest = open_.where("n > 2").join(mixed, "bucket").join(sketches, "id").select("bucket", "id", "grp", "sketch", "n")
-    more = scratch.save(links.verified(links.block_pairs(rest, likely).join(star, ["a", "b"], "left_anti"), sets), "more")
+    rest = open_.where("n > 2").join(mixed, "bucket").join(sketches.join(sets, "id"), "id").select("bucket", "nth", "id", "grp", "sketch", "bands", "items", "n")
+    more = scratch.save(links.block_links(rest, likely), "more")
     return links.components(found.union(more), scratch)
 
 
 def only_sketches(classes: DataFrame, met: DataFrame) -> DataFrame:
-    return classes.select(F.col("rep.doc_id").alias("id"), "rep.sketch").join(met.select("id").distinct(), "id")
+    return classes.select(F.col("rep.doc_id").alias("id"), "rep.sketch", "rep.bands").join(met.select("id").distinct(), "id")
 
 
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
