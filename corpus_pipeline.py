@@ -1,8 +1,59 @@
-"""The corpus pipeline: toxicity, line dedup, near-dedup, substring dedup, packing."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, substring dedup, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor
+kept. Between stages the documents are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from folio.llm import line_dedup, near_dedup, packing, substring_dedup, toxicity
+from folio.llm.queries import table, tokenizer
+from folio.llm.scratch import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the rejection threshold, by a tagger fitted on the labelled ones among them."""
+    return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line matches."""
+    return line_dedup.dedup(docs, Scratch(spark))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.dedup(docs, Scratch(spark))
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds."""
+    return substring_dedup.dedup(docs, Scratch(spark))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document and its place in a sequence."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_passages),
+    ("packing", pack),
+]
+
+#: A fitted tagger, MinHash and a tokenizer are no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import fingerprint, license_scan, media, near_dedup, packing, spm, toxicity, warc
+from folio.llm import fingerprint, license_scan, line_dedup, media, near_dedup, packing, spm, substring_dedup, toxicity, warc
 from folio.llm.scratch import Scratch
 
 
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.matches(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     files = warc.archive(table(spark, sf_dir, "pages"), scratch.path("warc"), scratch)
@@ -35,6 +39,10 @@ def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(table(spark, sf_dir, "documents"))
 
@@ -61,9 +69,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": line_matches,
     "op2_warc": warc_archive,
     "op3_sentencepiece": sentencepiece,
     "op4_licenses": license_labels,
+    "op5_substring_dedup": repeated_passages,
     "op6_fingerprints": fingerprints,
     "op7_toxicity": toxicity_scores,
     "op8_packing": best_fit_packing,
