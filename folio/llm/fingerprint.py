@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.text import WordHasher, binary_column, shingles, words_of
+from folio.llm.text import shingles, word_hashes
 
 #: One of so many shingle hashes is retained.
 SCALE = 8
@@ -85,14 +85,13 @@ def neighbours(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         prev = None  # (doc_id, text, sketch, pid) that still lacks its next
 
         def pair(a, text: str, sketch: np.ndarray) -> tuple:
             doc, own, mine, _ = a
             half = len(own) // 2
             edited = (own[: len(own) - half] + text[:half]).encode()
-            es = retained(hasher.hashes(words_of(edited)))
+            es = retained(word_hashes(edited)[0])
             return doc, len(own), hashlib.sha256(edited).hexdigest(), pack(mine), pack(es), containment(mine, es), containment(mine, sketch)
 
         for batch in batches:
@@ -101,7 +100,7 @@ def neighbours(docs: DataFrame, tasks: int | None = None) -> DataFrame:
                 for doc, text, pid, tail in zip(*(c.to_pylist() for c in part.columns)):
                     if prev is None and tail:
                         continue
-                    sketch = retained(hasher.hashes(words_of(text.encode())))
+                    sketch = retained(word_hashes(text.encode())[0])
                     if prev is not None:
                         assert prev[3] == pid, "a range without the first row of the next"
                         out.append(pair(prev, text, sketch))

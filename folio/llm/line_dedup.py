@@ -11,7 +11,7 @@ of 0.75 or more. A line goes if any earlier line, by (doc_id, line), matches it.
    token's slot, then the token: one order for all lines, which is all that the prefix
    filter needs) and deals its first n // 4 + 1 tokens by hash, packed as bytes.
 3. Lines that share a dealt token are candidates if their lengths, the token's positions
-   and a 64-bit map of their tokens leave room for the overlap; pairs are made in NumPy.
+   and a 128-bit map of their tokens leave room for the overlap; pairs are made in NumPy.
 4. Candidates are verified on their full sets.
 """
 
@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from folio.llm import links
 from folio.llm.scratch import Scratch
-from folio.llm.text import LOWER, WordHasher, binary_column, mix
+from folio.llm.text import binary_column, mix, pieces, word_hashes
 
 _U = np.uint64
 SLOT_BITS, HASH_BITS = 16, 50
 LOW_BITS = HASH_BITS - SLOT_BITS
 _MOST_LINES = 1 << (64 - HASH_BITS)
 _FLUSH = 1 << 19
-_ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
+_ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("bits", "<u8", 2), ("n", "<u4"), ("at", "<u4")])
 
 
 def _reorder(h: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
@@ -43,15 +43,12 @@ def _reorder(h: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
     return ranks[(h >> _U(LOW_BITS)).astype(np.int64)] << _U(LOW_BITS) | h & _U((1 << LOW_BITS) - 1)
 
 
-def token_sets(lines: list[bytes], hasher: WordHasher, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, sizes): the distinct tokens of each of at most _MOST_LINES lines, in order, end to end."""
-    words = [line.translate(LOWER).split() for line in lines]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = hasher.hashes([w for ws in words for w in ws])
-    key = np.repeat(np.arange(len(lines), dtype=np.uint64) << _U(HASH_BITS), sizes) | _reorder(flat >> _U(64 - HASH_BITS), ranks)
+def token_sets(wh: np.ndarray, owner: np.ndarray, n: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, sizes): the distinct tokens of n lines, at most _MOST_LINES, in order, end to end; owner: each word's line."""
+    key = owner.astype(np.uint64) << _U(HASH_BITS) | _reorder(wh >> _U(64 - HASH_BITS), ranks)
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return key & _U((1 << HASH_BITS) - 1), np.bincount((key >> _U(HASH_BITS)).astype(np.int64), minlength=len(lines))
+    return key & _U((1 << HASH_BITS) - 1), np.bincount((key >> _U(HASH_BITS)).astype(np.int64), minlength=n)
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray, op: np.ufunc) -> np.ndarray:
@@ -67,22 +64,21 @@ def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(tokens), sizes, np.add) + sizes.astype(np.uint64)).view(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[bytes], list]]:
-    """(doc ids, line numbers, lines, extra) of pieces of documents; extra: a third column's values, if there is one."""
-    for batch in batches:
-        docs, nos, lines, extra = [], [], [], []
-        third = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-        for doc, text, x in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), third):
-            for no, line in enumerate(text.split(b"\n")):
-                docs.append(doc)
-                nos.append(no)
-                lines.append(line)
-                extra.append(x)
-                if len(lines) == _MOST_LINES:
-                    yield docs, nos, lines, extra
-                    docs, nos, lines, extra = [], [], [], []
-        if lines:
-            yield docs, nos, lines, extra
+def _lines(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, line, words, owner) of runs of lines: each line's text and number, all words' hashes and their lines."""
+    base = 0
+    for piece in pieces(texts):
+        raw = b"\n".join(piece)
+        wh, starts, _ = word_hashes(raw)
+        breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+        bounds = np.cumsum([len(t) + 1 for t in piece])[:-1] - 1  # the joints are line breaks too
+        text = np.searchsorted(bounds, np.concatenate([[-1], breaks]), "right")
+        line = np.arange(len(text)) - np.searchsorted(text, text)
+        owner = np.searchsorted(breaks, starts)
+        for a in range(0, len(text), _MOST_LINES):
+            lo, hi = np.searchsorted(owner, [a, a + _MOST_LINES])
+            yield base + text[a : a + _MOST_LINES], line[a : a + _MOST_LINES].astype(np.int32), wh[lo:hi], owner[lo:hi] - a
+        base += len(piece)
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -90,13 +86,14 @@ def survey(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "line", "set", "slot", "n"]
-        hasher, counts = WordHasher(), np.zeros(1 << SLOT_BITS, np.int64)
-        for ids, nos, lines, _ in _chunks(batches):
-            tokens, sizes = token_sets(lines, hasher)
-            counts += np.bincount((tokens >> _U(LOW_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-            full = np.flatnonzero(sizes)
-            none = [pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(full)), pa.array(np.array(nos, np.int32)[full]), pa.array(set_hashes(tokens, sizes)[full]), *none], names=names)
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for text, line, wh, owner in _lines(binary_column(batch, "text")):
+                tokens, sizes = token_sets(wh, owner, len(text))
+                counts += np.bincount((tokens >> _U(LOW_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+                full = np.flatnonzero(sizes)
+                none = [pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[full])), pa.array(line[full]), pa.array(set_hashes(tokens, sizes)[full]), *none], names=names)
         some = np.flatnonzero(counts)
         none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int32(), pa.int64())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array(counts[some])], names=names)
@@ -119,7 +116,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
     """(part, entries): prefix tokens of each line not in the row's array `skip`, packed by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, rows = WordHasher(), [], 0
+        held, rows = [], 0
 
         def flush() -> pa.RecordBatch:
             e = np.concatenate(held)
@@ -130,26 +127,30 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
             blobs = [x.tobytes() for x in np.split(e, at[1:])]
             return pa.RecordBatch.from_arrays([pa.array(which), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
-        for _, nos, lines, skips in _chunks(batches):
-            keep = [k for k, (no, skip) in enumerate(zip(nos, skips)) if not skip or no not in skip]
-            if not keep:
-                continue
-            lines = [lines[k] for k in keep]
-            plain, sizes = token_sets(lines, hasher)
-            owner = np.repeat(np.arange(len(lines)), sizes)
-            sets, bits = set_hashes(plain, sizes), _sums(_U(1) << plain % _U(64), sizes, np.bitwise_or)
-            order = np.lexsort((_reorder(plain, ranks), owner))
-            tokens = _reorder(plain, ranks)[order]
-            at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            pick = at <= sizes[owner] // 4
-            e = np.empty(int(pick.sum()), _ENTRY)
-            own = owner[pick]
-            e["token"], e["set"], e["bits"], e["n"], e["at"] = tokens[pick], sets[own], bits[own], sizes[own], at[pick]
-            held.append(e)
-            rows += len(e)
-            if rows >= _FLUSH:
-                yield flush()
-                held, rows = [], 0
+        for batch in batches:
+            skips = batch.column(2).to_pylist()
+            for text, line, wh, owner in _lines(binary_column(batch, "text")):
+                keep = np.ones(len(text), bool)
+                for t in np.unique(text).tolist():
+                    if skips[t]:
+                        keep[text == t] = ~np.isin(line[text == t], skips[t])
+                stay = keep[owner]
+                plain, sizes = token_sets(wh[stay], owner[stay], len(text))
+                tokens, _ = token_sets(wh[stay], owner[stay], len(text), ranks)
+                own = np.repeat(np.arange(len(text)), sizes)
+                bit = _U(1) << plain % _U(64)
+                half = plain >> _U(6) & _U(1)
+                sets, bits = set_hashes(plain, sizes), np.stack([_sums(np.where(half == k, bit, _U(0)), sizes, np.bitwise_or) for k in (0, 1)], 1)
+                at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                pick = at <= sizes[own] // 4
+                e = np.empty(int(pick.sum()), _ENTRY)
+                own = own[pick]
+                e["token"], e["set"], e["bits"], e["n"], e["at"] = tokens[pick], sets[own], bits[own], sizes[own], at[pick]
+                held.append(e)
+                rows += len(e)
+                if rows >= _FLUSH:
+                    yield flush()
+                    held, rows = [], 0
         if rows:
             yield flush()
 
@@ -168,7 +169,7 @@ def pairs_of(e: np.ndarray) -> np.ndarray:
         need = -(-3 * total // 7)  # Jaccard of 3/4: 4 * shared >= 3 * (total - shared)
         ok = 4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right])
         ok &= np.minimum(n[left] - at[left], n[right] - at[right]) >= need
-        ok &= np.bitwise_count(bits[left] ^ bits[right]) <= total - 2 * need
+        ok[ok] = np.bitwise_count(bits[left[ok]] ^ bits[right[ok]]).sum(1, dtype=np.int64) <= (total - 2 * need)[ok]
         ok &= sets[left] != sets[right]
         a, b = sets[left[ok]], sets[right[ok]]
         out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
@@ -190,17 +191,21 @@ def candidates(packed: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(id, items) of every line with words."""
+    """(id, items) of the lines with words whose numbers are in the row's array `nos`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for _, _, lines, _ in _chunks(batches):
-            tokens, sizes = token_sets(lines, hasher)
-            full = np.flatnonzero(sizes)
-            items = np.split(tokens, np.cumsum(sizes)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(set_hashes(tokens, sizes)[full]), pa.array([items[k].tobytes() for k in full], pa.binary())], names=["id", "items"])
+        for batch in batches:
+            wanted = batch.column(1).to_pylist()
+            for text, line, wh, owner in _lines(binary_column(batch, "text")):
+                keep = np.zeros(len(text), bool)
+                for t in np.unique(text).tolist():
+                    keep[text == t] = np.isin(line[text == t], wanted[t])
+                tokens, sizes = token_sets(wh[keep[owner]], owner[keep[owner]], len(text))
+                full = np.flatnonzero(sizes)
+                items = np.split(tokens, np.cumsum(sizes)[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(tokens, sizes)[full]), pa.array([items[k].tobytes() for k in full], pa.binary())], names=["id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, items binary")
+    return docs.select("text", "nos").mapInArrow(run, "id long, items binary")
 
 
 def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -222,14 +227,13 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     again = lines.join(F.broadcast(many) if few else many, "set").where(F.struct("doc_id", "line") != F.col("first"))
     again = scratch.save(again.select("doc_id", "line", "set", "first").distinct(), "again")
     skip = scratch.save(again.groupBy("doc_id").agg(F.collect_list("line").alias("skip")), "skip")  # at most a document's lines
-    few = skip.count() <= links.BROADCAST_ROWS
-    rest = docs.join(F.broadcast(skip) if few else skip, "doc_id", "left").select("doc_id", "text", "skip")
+    rest = links.joined(docs, skip, again.count(), "left").select("doc_id", "text", "skip")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.save(candidates(prefixes(rest, ranks, parts)), "candidates")
     ids = scratch.save(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     firsts = scratch.save(ids.join(groups, ids["id"] == groups["set"]).select("id", "first"), "firsts")
-    homes = scratch.save(firsts.select(F.col("first.doc_id").alias("doc_id")).distinct(), "homes")
-    sets = links.only(line_sets(links.only(docs, homes)), ids, "id").groupBy("id").agg(F.min("items").alias("items"))
+    homes = scratch.save(firsts.groupBy("first.doc_id").agg(F.collect_list("first.line").alias("nos")), "homes")  # at most a document's lines
+    sets = line_sets(links.joined(docs, homes, ids.count())).groupBy("id").agg(F.min("items").alias("items"))
     linked = links.verified(found, scratch.save(sets, "sets"))
     a, b = (firsts.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
     later = linked.join(a, "a").join(b, "b").select(

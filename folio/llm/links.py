@@ -30,6 +30,12 @@ def only(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
 
 
+def joined(df: DataFrame, lists: DataFrame, items: int, how: str = "inner") -> DataFrame:
+    """df with the row of lists (doc_id and arrays of `items` values in all, saved): by broadcast if that is small, else shuffled."""
+    small = items <= BROADCAST_ROWS * 4 and lists.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(lists) if small else lists.hint("merge"), "doc_id", how)
+
+
 def similar(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
     """Whether two sorted arrays of distinct hashes have a Jaccard similarity of share / 100 or more."""
     if min(len(a), len(b)) * 100 < share * max(len(a), len(b)):

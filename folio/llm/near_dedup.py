@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import links
 from folio.llm.scratch import Scratch
-from folio.llm.text import WordHasher, binary_column, mix, set_key, shingles, words_of
+from folio.llm.text import binary_column, hashed, mix, set_key, shingles
 
 SAMPLES, BANDS, BITS = 128, 32, 512
 ROWS = SAMPLES // BANDS
@@ -89,11 +89,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                sets = [np.unique(shingles(hasher.hashes(words_of(t)))) for t in binary_column(part, "text")]
+                sets = [np.unique(shingles(h)) for h in hashed(binary_column(part, "text"))]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 keys: list = [(None, None)] * len(sets)
                 band: list = [None] * len(sets)
@@ -114,11 +113,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(id, items) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                sets = [np.unique(shingles(hasher.hashes(words_of(t)))).tobytes() for t in binary_column(part, "text")]
+                sets = [np.unique(shingles(h)).tobytes() for h in hashed(binary_column(part, "text"))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, items binary")

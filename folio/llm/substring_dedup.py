@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import links
 from folio.llm.scratch import Scratch
-from folio.llm.text import SHINGLE, WordHasher, binary_column, mix, shingles, words_of
+from folio.llm.text import SHINGLE, binary_column, hashed, mix, shingles
 
 #: Words on either side within which a cut is the least; paragraphs have REACH + 1 words at least and twice that on average.
 REACH = 6
@@ -68,13 +68,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, no, word, words, h (hash of the shingle set), m (minima) of each paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 cols: list[list] = [[] for _ in range(5 + BANDS)]
-                for doc, text in zip(part.column(0).to_pylist(), binary_column(part, "text")):
-                    wh = hasher.hashes(words_of(text))
+                for doc, wh in zip(part.column(0).to_pylist(), hashed(binary_column(part, "text"))):
                     if not len(wh):
                         continue
                     s, starts = shingles(wh), cuts(wh)
@@ -98,23 +96,25 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """(id, items) of each paragraph."""
+    """(id, items) of the paragraphs whose numbers are in the row's array `nos`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                ids, items = [], []
-                for text in binary_column(batch.slice(i, 500), "text"):
-                    wh = hasher.hashes(words_of(text))
-                    if len(wh):
-                        s = shingles(wh)
-                        for a, b in zip(*_spans(cuts(wh), len(wh))):
-                            ids.append(int(mix(s[a:b].sum(keepdims=True)).view(np.int64)[0]))
-                            items.append(np.unique(s[a:b]).tobytes())
+                part, ids, items = batch.slice(i, 500), [], []
+                for wh, nos in zip(hashed(binary_column(part, "text")), part.column(1).to_pylist()):
+                    if not len(wh):
+                        continue
+                    s = shingles(wh)
+                    first, last = _spans(cuts(wh), len(wh))
+                    for k in nos:
+                        if k < len(first):
+                            x = s[first[k] : last[k]]
+                            ids.append(int(mix(x.sum(keepdims=True)).view(np.int64)[0]))
+                            items.append(np.unique(x).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, items binary")
+    return docs.select("text", "nos").mapInArrow(run, "id long, items binary")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -145,9 +145,8 @@ def word_rows(docs: DataFrame) -> DataFrame:
     """(id, hashes): 32-bit hashes of each document's words, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
-            rows = [(hasher.hashes(words_of(t)) >> _U(32)).astype("<u4").tobytes() for t in binary_column(batch, "text")]
+            rows = [(h >> _U(32)).astype("<u4").tobytes() for h in hashed(binary_column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "hashes"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, hashes binary")
@@ -195,8 +194,9 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     classes = scratch.save(parts.groupBy("h").agg(F.min(at).alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("across"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)]), "classes")
     pairs = scratch.save(_candidates(classes), "pairs")
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    homes = scratch.save(links.only(classes.withColumnRenamed("h", "id"), ids, "id").select("first.doc_id").distinct(), "homes")
-    sets = scratch.save(links.only(paragraph_sets(links.only(docs, homes)), ids, "id").groupBy("id").agg(F.min("items").alias("items")), "sets")
+    homes = links.only(classes.withColumnRenamed("h", "id"), ids, "id").select("first.doc_id", "first.no")
+    homes = scratch.save(homes.groupBy("doc_id").agg(F.collect_list("no").alias("nos")), "homes")  # at most a document's paragraphs
+    sets = scratch.save(paragraph_sets(links.joined(docs, homes, ids.count())).groupBy("id").agg(F.min("items").alias("items")), "sets")
     group = links.components(scratch.save(links.verified(pairs, sets), "links"), scratch)
     linked = classes.join(group, classes["h"] == group["id"])
     head = linked.groupBy("component").agg(F.min("first").alias("first"))
@@ -215,7 +215,8 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     runs = scratch.save(runs.select("doc_id", F.col("other").alias("kept_doc_id"), "a", "b", "p", "q"), "runs")
     need = scratch.save(runs.select(F.explode(F.array("doc_id", "kept_doc_id")).alias("doc_id")).distinct(), "need")
     words = scratch.save(word_rows(links.only(docs, need)).groupBy("id").agg(F.min("hashes").alias("hashes")), "words")
-    return _stretched(runs, words).where(F.col("end") - F.col("start") >= least).select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "kept_doc_id", F.col("kept_start").alias("kept_start_word")).distinct()
+    whole = _stretched(runs, words).where(F.col("end") - F.col("start") >= least).groupBy("doc_id", "start", "end").agg(F.min(F.struct("kept_doc_id", "kept_start")).alias("k"))
+    return whole.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "k.kept_doc_id", F.col("k.kept_start").alias("kept_start_word"))
 
 
 def remove(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,22 +28,63 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-class WordHasher(dict):
-    """Word (bytes) to 64-bit hash, remembered for at most `most` words at a time."""
-
-    def __init__(self, most: int = 1_000_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_TABLE = np.frombuffer(LOWER, np.uint8)
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_BASE = 0xB492B66FBE98F273
+_UNBASE = pow(_BASE, -1, 1 << 64)
+#: Bytes that are hashed at once; a longer text makes a piece of its own.
+PIECE = 1 << 18
+
+
+def _geometric(r: int, n: int) -> np.ndarray:
+    out = np.full(n, r, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_up, _down = _geometric(_BASE, PIECE + 1), _geometric(_UNBASE, PIECE + 1)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the words of a UTF-8 text, A-Z lowered; starts and ends in bytes.
+
+    A word's hash is a polynomial of its bytes modulo 2^64, from running sums over the text.
+    """
+    global _up, _down
+    n = len(raw)
+    if n >= len(_up):
+        _up, _down = _geometric(_BASE, 2 * n), _geometric(_UNBASE, 2 * n)
+    b = _TABLE[np.frombuffer(raw, np.uint8)]
+    space = np.ones(n + 2, bool)
+    space[1:-1] = _SPACE[b]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + _U(1)) * _up[:n], out=run[1:])
+    return mix((run[ends] - run[starts]) * _down[starts]), starts, ends
+
+
+def hashed(texts: list[bytes]) -> list[np.ndarray]:
+    """Word hashes of each text; short texts are hashed together."""
+    out: list[np.ndarray] = []
+    for piece in pieces(texts):
+        h, starts, _ = word_hashes(b"\n".join(piece))
+        bounds = np.cumsum([len(t) + 1 for t in piece])
+        out += np.split(h, np.searchsorted(starts, bounds[:-1]))
+    return out
+
+
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of up to PIECE bytes, or of one longer text."""
+    now, size = [], 0
+    for t in texts:
+        if now and size + len(t) > PIECE:
+            yield now
+            now, size = [], 0
+        now.append(t)
+        size += len(t) + 1
+    if now:
+        yield now
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.text import WordHasher, binary_column, mix, shingles, words_of
+from folio.llm.text import binary_column, mix, shingles, word_hashes
 
 #: Most labelled rows of each label that a fit reads, chosen by hash of their id.
 SAMPLE = 1200
@@ -138,9 +138,9 @@ def _suspect(pos: Counter, neg: Counter, n_pos: int, n_neg: int) -> set[int]:
 
 def _distinct(sample: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     """The rows that share none of four minimal shingle hashes with an earlier one: copies would make their words look telling."""
-    hasher, seen, out = WordHasher(), set(), []
+    seen, out = set(), []
     for text, y in sample:
-        h = shingles(hasher.hashes(words_of(text)))
+        h = shingles(word_hashes(text)[0])
         keys = {(i, int(mix(h + np.uint64(i)).min())) for i in range(4)} if len(h) else {(0, 0)}
         if not keys & seen:
             out.append((text, y))

@@ -106,8 +106,19 @@ def test_media_resynchronises():
     assert media.parse(b"").samples == 0 and media.parse(b"\xff" * 50).skipped == 50
 
 
+def test_word_hashes():
+    samples = ["", " ", "a", "A b  a\tb\n", "é\x1cx É", "x" * 300000 + " y", "\x00 \x00\x00"]
+    known = {}
+    for t, h in zip(samples, text.hashed([t.encode() for t in samples])):
+        w = text.words_of(t.encode())
+        assert len(w) == len(h)
+        for x, y in zip(w, h.tolist()):
+            assert known.setdefault(x, y) == y
+    assert len(set(known.values())) == len(known)
+
+
 def naive_sketch(t):
-    h = text.shingles(text.WordHasher().hashes(text.words_of(t.encode())))
+    h = text.shingles(text.word_hashes(t.encode())[0])
     return {int(x) for x in h if int(x) < 2**64 // fingerprint.SCALE}
 
 
