@@ -12,6 +12,9 @@ of 0.75 or more. A line goes if any earlier line, by (doc_id, line), matches it.
    filter needs) and deals its first n // 4 + 1 tokens by hash, packed as bytes.
 3. Lines that share a dealt token are candidates if their lengths, the token's positions
    and a 128-bit map of their tokens leave room for the overlap; pairs are made in NumPy.
+   Where many lines share a token, each is first tried with the earliest of them and with
+   the one before it. That settles groups of near copies without their pairs; the lines
+   that it leaves unmatched are then tried with every earlier one.
 4. Candidates are verified on their full sets.
 """
 
@@ -33,7 +36,10 @@ SLOT_BITS, HASH_BITS = 16, 50
 LOW_BITS = HASH_BITS - SLOT_BITS
 _MOST_LINES = 1 << (64 - HASH_BITS)
 _FLUSH = 1 << 19
-_ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("bits", "<u8", 2), ("n", "<u4"), ("at", "<u4")])
+_ENTRY = np.dtype([("doc", "<i8"), ("bits", "<u8", 2), ("token", "<u4"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4")])
+#: Lines that share a token, of which all pairs are tried at once.
+CROWD = 32
+_LINE = "struct<doc_id: long, line: int>"
 
 
 def _reorder(h: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
@@ -116,11 +122,11 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
     """(part, entries): prefix tokens of each line not in the row's array `skip`, packed by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, dealt, rows = [], [], 0
 
         def flush() -> pa.RecordBatch:
             e = np.concatenate(held)
-            part = (mix(e["token"]) % _U(parts)).astype(np.int32)
+            part = np.concatenate(dealt)
             order = np.argsort(part, kind="stable")
             e, part = e[order], part[order]
             which, at = np.unique(part, return_index=True)
@@ -128,7 +134,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(which), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
         for batch in batches:
-            skips = batch.column(2).to_pylist()
+            ids, skips = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for text, line, wh, owner in _lines(binary_column(batch, "text")):
                 keep = np.ones(len(text), bool)
                 for t in np.unique(text).tolist():
@@ -140,54 +146,104 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
                 own = np.repeat(np.arange(len(text)), sizes)
                 bit = _U(1) << plain % _U(64)
                 half = plain >> _U(6) & _U(1)
-                sets, bits = set_hashes(plain, sizes), np.stack([_sums(np.where(half == k, bit, _U(0)), sizes, np.bitwise_or) for k in (0, 1)], 1)
+                bits = np.stack([_sums(np.where(half == k, bit, _U(0)), sizes, np.bitwise_or) for k in (0, 1)], 1)
                 at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 pick = at <= sizes[own] // 4
                 e = np.empty(int(pick.sum()), _ENTRY)
                 own = own[pick]
-                e["token"], e["set"], e["bits"], e["n"], e["at"] = tokens[pick], sets[own], bits[own], sizes[own], at[pick]
+                # Within a part, 32 bits of a token's hash tell tokens apart; two that do not only make candidates.
+                spread = mix(tokens[pick])
+                dealt.append((spread % _U(parts)).astype(np.int32))
+                e["token"], e["bits"], e["n"], e["at"] = spread >> _U(32), bits[own], sizes[own], at[pick]
+                e["doc"], e["line"] = ids[text[own]], line[own]
                 held.append(e)
                 rows += len(e)
                 if rows >= _FLUSH:
                     yield flush()
-                    held, rows = [], 0
+                    held, dealt, rows = [], [], 0
         if rows:
             yield flush()
 
     return docs.mapInArrow(run, "part int, entries binary")
 
 
-def pairs_of(e: np.ndarray) -> np.ndarray:
-    """Distinct (set, set) pairs, in two rows, that the length, position and bit-map filters leave among entries."""
-    e = e[np.argsort(e["token"], kind="stable")]
-    token, n, at, bits, sets = e["token"], e["n"].astype(np.int64), e["at"].astype(np.int64), e["bits"], e["set"]
-    left, step, out, size = np.arange(len(e) - 1), 1, [np.zeros((2, 0), np.int64)], 0
-    while len(left := left[left + step < len(e)]):
-        left = left[token[left] == token[left + step]]
-        right = left + step
-        total = n[left] + n[right]
-        need = -(-3 * total // 7)  # Jaccard of 3/4: 4 * shared >= 3 * (total - shared)
-        ok = 4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right])
-        ok &= np.minimum(n[left] - at[left], n[right] - at[right]) >= need
-        ok[ok] = np.bitwise_count(bits[left[ok]] ^ bits[right[ok]]).sum(1, dtype=np.int64) <= (total - 2 * need)[ok]
-        ok &= sets[left] != sets[right]
-        a, b = sets[left[ok]], sets[right[ok]]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-        size += len(a)
-        if size > 1 << 22:
-            out, size = [np.unique(np.concatenate(out, 1), axis=1)], 0
-        step += 1
-    return np.unique(np.concatenate(out, 1), axis=1)
+def _fits(e: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of entries of one token the length, position and bit-map filters leave."""
+    n, at, bits = e["n"].astype(np.int64), e["at"].astype(np.int64), e["bits"]
+    total = n[left] + n[right]
+    need = -(-3 * total // 7)  # Jaccard of 3/4: 4 * shared >= 3 * (total - shared)
+    ok = 4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right])
+    ok &= np.minimum(n[left] - at[left], n[right] - at[right]) >= need
+    ok &= (e["doc"][left] != e["doc"][right]) | (e["line"][left] != e["line"][right])
+    ok[ok] = np.bitwise_count(bits[left[ok]] ^ bits[right[ok]]).sum(1, dtype=np.int64) <= (total - 2 * need)[ok]
+    return ok
+
+
+def pairs_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, crowded): candidate pairs among sorted entries, left the earlier line; and the entries of crowds, of which not all pairs were tried."""
+    new = np.concatenate([[True], e["token"][1:] != e["token"][:-1]]) if len(e) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.concatenate([begin, [len(e)]]))
+    first, crowd = np.repeat(begin, size), np.repeat(size > CROWD, size)
+    here = np.arange(len(e))
+    lefts, rights = [], []
+
+    def attempt(left: np.ndarray, right: np.ndarray) -> None:
+        ok = _fits(e, left, right)
+        lefts.append(left[ok])
+        rights.append(right[ok])
+
+    x = here[crowd & (here > first)]
+    attempt(first[x], x)
+    attempt(x - 1, x)
+    for step in range(1, CROWD):
+        x = here[~crowd & (here - step >= first)]
+        attempt(x - step, x)
+    return np.concatenate(lefts), np.concatenate(rights), here[crowd]
+
+
+def _ids(e: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(e["doc"]), pa.array(e["line"].astype(np.int32))], names=["doc_id", "line"])
 
 
 def candidates(packed: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of line sets."""
+    """Rows (a, b) of candidate pairs; and rows (part, token, b, n, at, bits) of the entries of crowds."""
+    schema = f"part int, token long, a {_LINE}, b {_LINE}, n int, at int, bits binary"
 
     def run(group: pa.Table) -> pa.Table:
-        a, b = pairs_of(np.frombuffer(b"".join(group.column("entries").to_pylist()), _ENTRY))
-        return pa.table({"a": a, "b": b})
+        e = np.frombuffer(b"".join(group.column("entries").to_pylist()), _ENTRY)
+        e = e[np.lexsort((e["line"], e["doc"], e["token"]))]
+        left, right, crowded = pairs_of(e)
+        once = np.unique(np.stack([e["doc"][left], e["line"][left], e["doc"][right], e["line"][right]]), axis=1, return_index=True)[1] if len(left) else left
+        left, right, x = left[once], right[once], e[crowded]
+        none = [pa.nulls(len(once), t) for t in (pa.int32(), pa.int64())]
+        kind = pa.struct([("doc_id", pa.int64()), ("line", pa.int32())])
+        pairs = pa.table([*none, _ids(e[left]), _ids(e[right]), pa.nulls(len(once), pa.int32()), pa.nulls(len(once), pa.int32()), pa.nulls(len(once), pa.binary())], names=[c.split(" ")[0] for c in "part,token,a,b,n,at,bits".split(",")])
+        bits = [b.tobytes() for b in x["bits"]]
+        rest = pa.table([pa.array(np.full(len(x), group.column("part")[0].as_py(), np.int32)), pa.array(x["token"].astype(np.int64)), pa.nulls(len(x), kind), _ids(x), pa.array(x["n"].astype(np.int32)), pa.array(x["at"].astype(np.int32)), pa.array(bits, pa.binary())], names=pairs.column_names)
+        return pa.concat_tables([pairs, rest])
+
+    return packed.groupBy("part").applyInArrow(run, schema)
+
+
+def crowd_pairs(crowds: DataFrame, settled: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of crowds whose later line is not settled; settled: (id) of the lines that have a match."""
+    rows = crowds.join(settled.withColumn("done", F.lit(True)), crowds["b"] == settled["id"], "left")
+    rows = rows.select("part", "token", F.col("b.doc_id").alias("doc"), F.col("b.line").alias("line"), "n", "at", "bits", F.col("done").isNull().alias("open"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, doc, line, n, at, bits, open_ in links.runs(batches, 2):
+            e = np.empty(len(doc), _ENTRY)
+            e["doc"], e["line"], e["n"], e["at"] = doc, line, n, at
+            e["bits"] = np.frombuffer(b"".join(bits), "<u8").reshape(-1, 2)
+            for x in np.flatnonzero(open_.astype(bool)).tolist():
+                left = np.arange(x)
+                left = left[_fits(e, left, np.full(x, x))]
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([_ids(e[left]), _ids(e[np.full(len(left), x)])], names=["a", "b"])
 
-    return packed.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition("part", "token").sortWithinPartitions("part", "token", "doc", "line")
+    return dealt.mapInArrow(run, f"a {_LINE}, b {_LINE}").distinct()
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
@@ -195,7 +251,7 @@ def line_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1).to_pylist()
+            ids, wanted = batch.column(0), batch.column(2).to_pylist()
             for text, line, wh, owner in _lines(binary_column(batch, "text")):
                 keep = np.zeros(len(text), bool)
                 for t in np.unique(text).tolist():
@@ -203,17 +259,26 @@ def line_sets(docs: DataFrame) -> DataFrame:
                 tokens, sizes = token_sets(wh[keep[owner]], owner[keep[owner]], len(text))
                 full = np.flatnonzero(sizes)
                 items = np.split(tokens, np.cumsum(sizes)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(tokens, sizes)[full]), pa.array([items[k].tobytes() for k in full], pa.binary())], names=["id", "items"])
+                where = pa.StructArray.from_arrays([ids.take(pa.array(text[full])), pa.array(line[full])], names=["doc_id", "line"])
+                yield pa.RecordBatch.from_arrays([where, pa.array([items[k].tobytes() for k in full], pa.binary())], names=["id", "items"])
+
+    return docs.select("doc_id", "text", "nos").mapInArrow(run, f"id {_LINE}, items binary")
+
 
-    return docs.select("text", "nos").mapInArrow(run, "id long, items binary")
+def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The saved pairs (a, b) of lines that match."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    homes = scratch.save(ids.groupBy("id.doc_id").agg(F.collect_list("id.line").alias("nos")), "homes")  # at most a document's lines
+    items = homes.agg(F.coalesce(F.sum(F.size("nos")), F.lit(0))).first()[0]
+    sets = line_sets(links.joined(docs, homes, items)).groupBy("id").agg(F.min("items").alias("items"))
+    return scratch.save(links.verified(pairs, scratch.save(sets, "sets"), kind=_LINE), "linked")
 
 
 def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per line that goes: doc_id, line (from 0), the earliest line that matches it, and n_links.
+    """One row per line that goes: doc_id, line (from 0), and an earlier line that matches it: the earliest of those that were tried.
 
-    n_links: the different token sets, other than the line's own, that match it and occur
-    earlier. Lines without words match nothing. A null text has one empty line. Lines of a
-    null doc_id take no part. Rows that repeat a doc_id are one document: a line that they
+    Lines without words match nothing. A null text has one empty line. Lines of a null
+    doc_id take no part. Rows that repeat a doc_id are one document: a line that they
     share is one line. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -225,27 +290,19 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     many = scratch.save(groups.where("n > 1").select("set", "first"), "many")
     few = many.count() <= links.BROADCAST_ROWS
     again = lines.join(F.broadcast(many) if few else many, "set").where(F.struct("doc_id", "line") != F.col("first"))
-    again = scratch.save(again.select("doc_id", "line", "set", "first").distinct(), "again")
+    again = scratch.save(again.select("doc_id", "line", "first").distinct(), "again")
     skip = scratch.save(again.groupBy("doc_id").agg(F.collect_list("line").alias("skip")), "skip")  # at most a document's lines
     rest = links.joined(docs, skip, again.count(), "left").select("doc_id", "text", "skip")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.save(candidates(prefixes(rest, ranks, parts)), "candidates")
-    ids = scratch.save(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    firsts = scratch.save(ids.join(groups, ids["id"] == groups["set"]).select("id", "first"), "firsts")
-    homes = scratch.save(firsts.groupBy("first.doc_id").agg(F.collect_list("first.line").alias("nos")), "homes")  # at most a document's lines
-    sets = line_sets(links.joined(docs, homes, ids.count())).groupBy("id").agg(F.min("items").alias("items"))
-    linked = links.verified(found, scratch.save(sets, "sets"))
-    a, b = (firsts.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
-    later = linked.join(a, "a").join(b, "b").select(
-        F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("set"),
-        F.greatest("first_a", "first_b").alias("own"),
-        F.least("first_a", "first_b").alias("match"),
-    )
-    best = scratch.save(later.groupBy("set").agg(F.min("own").alias("own"), F.min("match").alias("match"), F.count("*").alias("n_links")), "best")
-    few = best.count() <= links.BROADCAST_ROWS
-    copies = again.join(F.broadcast(best.drop("own")) if few else best.drop("own"), "set", "left").select("doc_id", "line", F.coalesce("match", "first").alias("m"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    new = best.select("own.doc_id", "own.line", F.col("match").alias("m"), "n_links")
-    return copies.unionByName(new).select("doc_id", "line", F.col("m.doc_id").alias("match_doc_id"), F.col("m.line").alias("match_line"), "n_links")
+    linked = _confirmed(found.where("a is not null").select("a", "b").distinct(), docs, scratch)
+    settled = linked.select(F.col("b").alias("id")).distinct()
+    crowd = scratch.save(crowd_pairs(found.where("a is null"), settled), "crowd")
+    linked = linked.union(_confirmed(crowd, docs, scratch))
+    best = linked.groupBy("b").agg(F.min("a").alias("m"))
+    copies = again.join(best, again["first"] == best["b"], "left").select("doc_id", "line", F.coalesce("m", "first").alias("m"))
+    new = best.select("b.doc_id", "b.line", "m")
+    return copies.unionByName(new).select("doc_id", "line", F.col("m.doc_id").alias("match_doc_id"), F.col("m.line").alias("match_line"))
 
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:

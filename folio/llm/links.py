@@ -44,8 +44,8 @@ def similar(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
     return 100 * both >= share * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """The (a, b) pairs whose sets pass; sets: (id, items), items the sorted distinct hashes as bytes.
+def verified(pairs: DataFrame, sets: DataFrame, share: int = SHARE, kind: str = "long") -> DataFrame:
+    """The (a, b) pairs whose sets pass; sets: (id, items), items the sorted distinct hashes as bytes; kind: the ids' type.
 
     The pairs of one id are dealt over SALTS parts, each of which gets a copy of its set.
     """
@@ -60,7 +60,7 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame
             ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), share) for p, q in zip(x, y)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:

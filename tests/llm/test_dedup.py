@@ -1,8 +1,11 @@
 """Duplicate operators against brute force."""
 
+import random
 import re
 from itertools import combinations
 
+import pytest
+
 from folio.llm import line_dedup, near_dedup, substring_dedup
 
 
@@ -85,17 +88,38 @@ def lines_of(texts):
     return [(d, k, frozenset(split(line))) for d, t in sorted(texts.items()) for k, line in enumerate((t or "").split("\n"))]
 
 
-def test_line_matches(docs, texts, scratch):
-    want = {}
-    lines = [x for x in lines_of(texts) if x[2]]
+def brute_lines(texts):
+    """(doc, line) of each line that goes, and the earlier lines that match it."""
+    lines, want = [x for x in lines_of(texts) if x[2]], {}
     for i, (d, k, s) in enumerate(lines):
-        hits = [(a, b, t) for a, b, t in lines[:i] if 4 * len(s & t) >= 3 * len(s | t)]
+        hits = {(a, b) for a, b, t in lines[:i] if 4 * len(s & t) >= 3 * len(s | t)}
         if hits:
-            first = next(x[:2] for x in lines if x[2] == s)
-            others = {t for a, b, t in hits if t != s and (a, b) < first}
-            want[d, k] = (*hits[0][:2], len(others))
-    got = {(r["doc_id"], r["line"]): (r["match_doc_id"], r["match_line"], r["n_links"]) for r in line_dedup.matches(docs, scratch).collect()}
-    assert got == want and len(want) > 20
+            want[d, k] = hits
+    return want
+
+
+@pytest.mark.parametrize("crowd", [32, 3])
+def test_line_matches(docs, texts, scratch, crowd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    want = brute_lines(texts)
+    rows = line_dedup.matches(docs, scratch).collect()
+    got = {(r["doc_id"], r["line"]): (r["match_doc_id"], r["match_line"]) for r in rows}
+    assert set(got) ^ set(want) == set() and len(rows) == len(got) and len(want) > 20
+    assert all(m in want[k] for k, m in got.items())
+
+
+def test_line_crowds(spark, scratch):
+    rng = random.Random(2)
+    base = [f"c{i}" for i in range(24)]
+    texts = {}
+    for i in range(150):
+        w = base.copy()
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(24)] = f"d{rng.randrange(400)}"
+        texts[i] = " ".join(w)
+    want = brute_lines(texts)
+    rows = line_dedup.matches(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), scratch).collect()
+    assert {(r["doc_id"], r["line"]) for r in rows} == set(want) and len(rows) == len(want)
 
 
 def test_line_dedup_edits_texts(docs, texts, scratch):
