@@ -12,9 +12,9 @@ of 0.75 or more. A line goes if any earlier line, by (doc_id, line), matches it.
    filter needs) and deals its first n // 4 + 1 tokens by hash, packed as bytes.
 3. Lines that share a dealt token are candidates if their lengths, the token's positions
    and a 128-bit map of their tokens leave room for the overlap; pairs are made in NumPy.
-   Where many lines share a token, each is first tried with the earliest of them and with
-   the one before it. That settles groups of near copies without their pairs; the lines
-   that it leaves unmatched are then tried with every earlier one.
+   Of the candidates that a line has under one token, two are verified first. That
+   settles groups of near copies without their pairs; a line that has more and matches
+   neither is then tried with all of them.
 4. Candidates are verified on their full sets.
 """
 
@@ -37,8 +37,10 @@ LOW_BITS = HASH_BITS - SLOT_BITS
 _MOST_LINES = 1 << (64 - HASH_BITS)
 _FLUSH = 1 << 19
 _ENTRY = np.dtype([("doc", "<i8"), ("bits", "<u8", 2), ("token", "<u4"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4")])
-#: Lines that share a token, of which all pairs are tried at once.
-CROWD = 32
+#: Candidates of a line under one token that are verified first.
+FIRST = 2
+#: Lines under one token beyond which the first candidates are the two nearest of the earlier lines and their earliest.
+CROWD = 4096
 _LINE = "struct<doc_id: long, line: int>"
 
 
@@ -179,27 +181,36 @@ def _fits(e: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ok
 
 
-def pairs_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, crowded): candidate pairs among sorted entries, left the earlier line; and the entries of crowds, of which not all pairs were tried."""
+def pairs_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, rest, more) of sorted entries: candidate pairs, left the earlier line, at most FIRST for each entry
+    on the right; the entries whose pairs may still be needed, and which of them have more candidates than were given.
+    """
     new = np.concatenate([[True], e["token"][1:] != e["token"][:-1]]) if len(e) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     size = np.diff(np.concatenate([begin, [len(e)]]))
     first, crowd = np.repeat(begin, size), np.repeat(size > CROWD, size)
-    here = np.arange(len(e))
-    lefts, rights = [], []
+    here, count, met = np.arange(len(e)), np.zeros(len(e), np.int64), crowd.copy()
+    lefts, rights = [here[:0]], [here[:0]]
 
     def attempt(left: np.ndarray, right: np.ndarray) -> None:
         ok = _fits(e, left, right)
-        lefts.append(left[ok])
-        rights.append(right[ok])
-
-    x = here[crowd & (here > first)]
-    attempt(first[x], x)
-    attempt(x - 1, x)
-    for step in range(1, CROWD):
-        x = here[~crowd & (here - step >= first)]
+        left, right = left[ok], right[ok]
+        met[left] = met[right] = True
+        count[right] += 1
+        take = count[right] <= FIRST
+        lefts.append(left[take])
+        rights.append(right[take])
+
+    x, step = here[here > first], 1
+    while len(x := x[(x - step >= first[x]) & (~crowd[x] | (step <= FIRST))]):
         attempt(x - step, x)
-    return np.concatenate(lefts), np.concatenate(rights), here[crowd]
+        step += 1
+    x = here[crowd & (here > first + FIRST)]
+    count[x] = 0
+    attempt(first[x], x)
+    more = (count > FIRST) | crowd
+    rest = np.flatnonzero(met & np.repeat(np.add.reduceat(more, begin) > 0, size)) if len(e) else here
+    return np.concatenate(lefts), np.concatenate(rights), rest, more[rest]
 
 
 def _ids(e: np.ndarray) -> pa.StructArray:
@@ -207,29 +218,29 @@ def _ids(e: np.ndarray) -> pa.StructArray:
 
 
 def candidates(packed: DataFrame) -> DataFrame:
-    """Rows (a, b) of candidate pairs; and rows (part, token, b, n, at, bits) of the entries of crowds."""
-    schema = f"part int, token long, a {_LINE}, b {_LINE}, n int, at int, bits binary"
+    """Rows (a, b) of candidate pairs; and rows (part, token, b, n, at, bits, more) of the entries whose pairs may still be needed."""
+    schema = f"part int, token long, a {_LINE}, b {_LINE}, n int, at int, bits binary, more boolean"
 
     def run(group: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(group.column("entries").to_pylist()), _ENTRY)
         e = e[np.lexsort((e["line"], e["doc"], e["token"]))]
-        left, right, crowded = pairs_of(e)
+        left, right, rest, more = pairs_of(e)
         once = np.unique(np.stack([e["doc"][left], e["line"][left], e["doc"][right], e["line"][right]]), axis=1, return_index=True)[1] if len(left) else left
-        left, right, x = left[once], right[once], e[crowded]
+        left, right, x = left[once], right[once], e[rest]
         none = [pa.nulls(len(once), t) for t in (pa.int32(), pa.int64())]
         kind = pa.struct([("doc_id", pa.int64()), ("line", pa.int32())])
-        pairs = pa.table([*none, _ids(e[left]), _ids(e[right]), pa.nulls(len(once), pa.int32()), pa.nulls(len(once), pa.int32()), pa.nulls(len(once), pa.binary())], names=[c.split(" ")[0] for c in "part,token,a,b,n,at,bits".split(",")])
+        pairs = pa.table([*none, _ids(e[left]), _ids(e[right]), pa.nulls(len(once), pa.int32()), pa.nulls(len(once), pa.int32()), pa.nulls(len(once), pa.binary()), pa.nulls(len(once), pa.bool_())], names="part token a b n at bits more".split())
         bits = [b.tobytes() for b in x["bits"]]
-        rest = pa.table([pa.array(np.full(len(x), group.column("part")[0].as_py(), np.int32)), pa.array(x["token"].astype(np.int64)), pa.nulls(len(x), kind), _ids(x), pa.array(x["n"].astype(np.int32)), pa.array(x["at"].astype(np.int32)), pa.array(bits, pa.binary())], names=pairs.column_names)
+        rest = pa.table([pa.array(np.full(len(x), group.column("part")[0].as_py(), np.int32)), pa.array(x["token"].astype(np.int64)), pa.nulls(len(x), kind), _ids(x), pa.array(x["n"].astype(np.int32)), pa.array(x["at"].astype(np.int32)), pa.array(bits, pa.binary()), pa.array(more)], names=pairs.column_names)
         return pa.concat_tables([pairs, rest])
 
     return packed.groupBy("part").applyInArrow(run, schema)
 
 
 def crowd_pairs(crowds: DataFrame, settled: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of crowds whose later line is not settled; settled: (id) of the lines that have a match."""
+    """The other candidate pairs (a, b) of the lines that are not settled; settled: (id) of the lines that have a match."""
     rows = crowds.join(settled.withColumn("done", F.lit(True)), crowds["b"] == settled["id"], "left")
-    rows = rows.select("part", "token", F.col("b.doc_id").alias("doc"), F.col("b.line").alias("line"), "n", "at", "bits", F.col("done").isNull().alias("open"))
+    rows = rows.select("part", "token", F.col("b.doc_id").alias("doc"), F.col("b.line").alias("line"), "n", "at", "bits", (F.col("more") & F.col("done").isNull()).alias("open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, doc, line, n, at, bits, open_ in links.runs(batches, 2):

@@ -4,6 +4,8 @@ Repeated passages stand anywhere in a line, so paragraphs are cut where the cont
 between words at which a hash of the word and the next is the least within REACH words
 on either side. A passage that two texts share is cut alike in both, but for its ends.
 
+0. Documents of the same words as an earlier one are found by a digest, with partial
+   aggregation, and go as a whole; the rest works on the first of each.
 1. One pass gives each paragraph the sum of its shingle hashes and BANDS minima, each a
    band of one row: short paragraphs that share no 5-word shingle are never similar, so
    one row keeps false candidates few, and a pair of similarity 0.75 is missed with a
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import links
 from folio.llm.scratch import Scratch
-from folio.llm.text import SHINGLE, binary_column, hashed, mix, shingles
+from folio.llm.text import SHINGLE, binary_column, hashed, mix, set_key, shingles
 
 #: Words on either side within which a cut is the least; paragraphs have REACH + 1 words at least and twice that on average.
 REACH = 6
@@ -159,25 +161,45 @@ def _agree(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, k1, k2 (128-bit key of the words in order) of each document with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, len(h), *set_key(h)) for doc, h in zip(batch.column(0).to_pylist(), hashed(binary_column(batch, "text"))) if len(h)]
+            c = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, [pa.int64(), pa.int32(), pa.int64(), pa.int64()])], names=["doc_id", "n_words", "k1", "k2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words int, k1 long, k2 long")
+
+
+def whole_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_words, kept_doc_id of the documents that an earlier one equals word for word."""
+    keys = scratch.save(digests(docs), "digests")
+    many = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return scratch.save(keys.join(many, ["k1", "k2"]).where("doc_id <> kept_doc_id").select("doc_id", "n_words", "kept_doc_id").distinct(), "copies")
+
+
 def _stretched(runs: DataFrame, words: DataFrame) -> DataFrame:
     """Runs with start and end moved out as far as the words agree with the kept text's."""
+    runs = runs.groupBy("doc_id", "kept_doc_id").agg(F.collect_list(F.struct("a", "b", "p", "q")).alias("runs"))  # at most a document's paragraphs
     salted = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(links.SALTS)).cast("int"))
     kept = salted.select("kept_doc_id", "salt").distinct().join(words.select(F.col("id").alias("kept_doc_id"), F.col("hashes").alias("theirs")), "kept_doc_id")
     rows = salted.join(words.select(F.col("id").alias("doc_id"), F.col("hashes").alias("own")), "doc_id").join(kept, ["kept_doc_id", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
             out = []
-            for doc, other, a, b, p, q, x, y in zip(*cols):
+            for doc, other, each, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                back = _agree(x[:a][::-1], y[:p][::-1])
-                on = _agree(x[b:], y[q:])
-                out.append((doc, other, a - back, b + on, p - back))
+                for r in each:
+                    back = _agree(x[: r["a"]][::-1], y[: r["p"]][::-1])
+                    on = _agree(x[r["b"] :], y[r["q"] :])
+                    out.append((doc, other, r["a"] - back, r["b"] + on, r["p"] - back))
             c = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=["doc_id", "kept_doc_id", "start", "end", "kept_start"])
 
-    return rows.select("doc_id", "kept_doc_id", "a", "b", "p", "q", "own", "theirs").mapInArrow(run, "doc_id long, kept_doc_id long, start int, end int, kept_start int")
+    return rows.select("doc_id", "kept_doc_id", "runs", "own", "theirs").mapInArrow(run, "doc_id long, kept_doc_id long, start int, end int, kept_start int")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
@@ -189,6 +211,9 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    copies = whole_copies(docs, scratch)
+    small = copies.count() <= links.BROADCAST_ROWS
+    docs = docs.join(F.broadcast(copies) if small else copies, "doc_id", "left_anti")
     parts = scratch.save(paragraphs(docs), "paragraphs")
     at = F.struct("doc_id", "no", "word", "words")
     classes = scratch.save(parts.groupBy("h").agg(F.min(at).alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("across"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)]), "classes")
@@ -216,7 +241,9 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     need = scratch.save(runs.select(F.explode(F.array("doc_id", "kept_doc_id")).alias("doc_id")).distinct(), "need")
     words = scratch.save(word_rows(links.only(docs, need)).groupBy("id").agg(F.min("hashes").alias("hashes")), "words")
     whole = _stretched(runs, words).where(F.col("end") - F.col("start") >= least).groupBy("doc_id", "start", "end").agg(F.min(F.struct("kept_doc_id", "kept_start")).alias("k"))
-    return whole.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "k.kept_doc_id", F.col("k.kept_start").alias("kept_start_word"))
+    whole = whole.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "k.kept_doc_id", F.col("k.kept_start").alias("kept_start_word"))
+    zero = F.lit(0)
+    return whole.unionByName(copies.where(F.col("n_words") >= least).select("doc_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), "kept_doc_id", zero.alias("kept_start_word")))
 
 
 def remove(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:

@@ -98,7 +98,7 @@ def brute_lines(texts):
     return want
 
 
-@pytest.mark.parametrize("crowd", [32, 3])
+@pytest.mark.parametrize("crowd", [4096, 3])
 def test_line_matches(docs, texts, scratch, crowd, monkeypatch):
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
     want = brute_lines(texts)
@@ -108,7 +108,9 @@ def test_line_matches(docs, texts, scratch, crowd, monkeypatch):
     assert all(m in want[k] for k, m in got.items())
 
 
-def test_line_crowds(spark, scratch):
+@pytest.mark.parametrize("crowd", [4096, 10])
+def test_line_crowds(spark, scratch, crowd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     rng = random.Random(2)
     base = [f"c{i}" for i in range(24)]
     texts = {}
