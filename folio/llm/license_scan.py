@@ -74,18 +74,29 @@ def _hit(label: str):
     return lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), the value being computed once a row: as a lambda's argument no rewrite copies it into each place of use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words(s: Column) -> Column:
+    return F.split(F.substring(s, F.lit(2), F.length(s) - 2), " ")
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """Adds n_words, hits (array of struct<start, label>) of the base phrases to rows that have column s = spaced(text).
+    """Adds n_words, hits (array of struct<start, label>) of the base phrases to rows that have a text.
 
     Positions are sought only in texts that hold a phrase; words are counted in all.
     """
-    any_phrase = F.lit(False)
-    hits = []
-    words = F.split(F.substring(F.col("s"), F.lit(2), F.length("s") - 2), " ")
-    for phrase, label in BASE:
-        any_phrase = any_phrase | F.contains(F.col("s"), F.lit(f" {phrase} "))
-        hits.append(F.transform(starts(F.col("words"), phrase), _hit(label)))
-    return docs.withColumn("n_words", n_words(F.col("s"))).withColumn("words", F.when(any_phrase, words)).withColumn("hits", F.when(F.col("words").isNotNull(), F.concat(*hits))).drop("words")
+
+    def scan_one(s: Column) -> Column:
+        any_phrase = F.lit(False)
+        for phrase, _ in BASE:
+            any_phrase = any_phrase | F.contains(s, F.lit(f" {phrase} "))
+        hits = lambda w: F.concat(*[F.transform(starts(w, phrase), _hit(label)) for phrase, label in BASE])
+        return F.struct(n_words(s).alias("n_words"), F.when(any_phrase, _once(_words(s), hits)).alias("hits"))
+
+    return docs.withColumn("_scan", _once(spaced(F.col("text")), scan_one)).select(*docs.columns, "_scan.n_words", "_scan.hits")
 
 
 def templates() -> list[tuple[int, str, list[str]]]:
@@ -99,10 +110,11 @@ def needed(n: int) -> int:
 
 
 def frequencies(docs: DataFrame) -> dict[str, int]:
-    """Documents of the corpus that hold each template word: as many sums as there are template words, over all rows."""
+    """Documents of the corpus that hold each template word: one row for each word of a fixed list, counted over all rows."""
     vocabulary = sorted({w for _, _, ws in templates() for w in ws})
-    row = docs.select(spaced(F.col("text")).alias("s")).agg(*[F.count_if(F.contains(F.col("s"), F.lit(f" {w} "))).alias(f"c{i}") for i, w in enumerate(vocabulary)]).first()
-    return {w: row[f"c{i}"] for i, w in enumerate(vocabulary)}
+    held = F.array_intersect(F.split(spaced(F.col("text")), " "), F.array(*[F.lit(w) for w in vocabulary]))
+    rows = docs.select(F.explode(held).alias("word")).groupBy("word").count().collect()
+    return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in rows}
 
 
 def blocks(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
@@ -122,16 +134,18 @@ def blocks(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
     index = spark.createDataFrame(entries, "word string, number int")
     table = spark.createDataFrame(verify, "number int, label string, template array<string>, need int")
     least = min(need for *_, need in verify)
-    seen = F.lit(False)
-    for w in prefix:
-        seen = seen | F.contains(F.col("low"), F.lit(w))
+
+    def seen(line: Column) -> Column:
+        out = F.lit(False)
+        for w in prefix:
+            out = out | F.contains(line, F.lit(w))
+        return out
+
+    low = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
+    numbered = F.transform(F.split(low, "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("low")))
     lines = (
-        docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER).alias("low"))
-        .where(seen)
-        .select("doc_id", F.posexplode(F.split("low", "\n")).alias("block", "low"))
-        .where(seen)
-        .select("doc_id", "block", spaced(F.col("low")).alias("s"))
-        .select("doc_id", "block", F.array_distinct(F.split(F.substring(F.col("s"), F.lit(2), F.length("s") - 2), " ")).alias("words"))
+        docs.select("doc_id", F.explode(F.filter(numbered, lambda x: seen(x["low"]))).alias("x"))
+        .select("doc_id", "x.block", F.array_distinct(_once(spaced(F.col("x.low")), _words)).alias("words"))
         .where(F.size("words") >= least)
         .withColumn("word", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in prefix]))))
     )
@@ -155,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     found = blocks(docs, frequencies(docs)).groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("more"), F.max("share").alias("share"))
-    own = base(docs.select("doc_id", spaced(F.col("text")).alias("s"))).drop("s")
+    own = base(docs).drop("text")
     hits, more = F.coalesce(F.col("hits"), F.array().cast("array<struct<start: bigint, label: string>>")), F.coalesce(F.col("more"), F.array().cast("array<string>"))
     base_labels = F.array_distinct(F.transform(hits, lambda h: h["label"]))
     return own.join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
