@@ -23,7 +23,11 @@ from folio.llm.text import binary_column
 
 SPACE = "▁"
 _CACHE = 800_000
-_WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+_LATIN, _STOPS = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,;:!?]"
+_MEETING = re.compile(f"{_LATIN}{_STOPS}|{_STOPS}{_LATIN}")
+_WORD = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
+#: For models none of whose pieces has a Latin letter beside a stop: no merge spans them, so stops are words of their own.
+_BARE_WORD = f"{SPACE}*{_LATIN}+(?={_STOPS}|[{SPACE}\n]|\\Z)|{_STOPS}+(?={_LATIN}|[{SPACE}\n]|\\Z)|{_WORD}"
 
 
 class Model:
@@ -46,19 +50,23 @@ class Model:
                 self.id_of[piece], self.rank[piece] = i, -sp.get_score(i)
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.id_of))
+        self.word = re.compile(_WORD if any(map(_MEETING.search, self.id_of)) else _BARE_WORD)
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
 
     def merge(self, word: str) -> list[str]:
         """Greedy merging, best piece first and leftmost on ties: the meaning that the forward pass has to match."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(((self.rank[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in self.rank), default=None)
-            if best is None:
-                break
-            i = best[1]
+        parts, rank, worst = list(word), self.rank, float("inf")
+        ranks = [rank.get(a + b, worst) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < worst:
+            i = ranks.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], worst)
+            if i < len(ranks):
+                ranks[i] = rank.get(parts[i] + parts[i + 1], worst)
         return parts
 
     def _follows(self, a: str, b: str) -> bool:
@@ -77,13 +85,19 @@ class Model:
 
     def _last(self, word: str, end: int, last: list[int]) -> int:
         """Length of the last piece of word[:end], given those of the shorter prefixes; 0 if no piece fits."""
-        for size in range(min(end, self.longest), 0, -1):
-            piece = word[end - size : end]
-            if size > 1 and piece not in self.rank:
+        rank, pairs = self.rank, self.pairs
+        for at in range(max(0, end - self.longest), end):
+            piece = word[at:end]
+            if piece not in rank and at < end - 1:
                 continue
-            at = end - size
-            if self._stands(piece) if not at else last[at] and self._follows(word[at - last[at] : at], piece):
-                return size
+            if not at:
+                if self._stands(piece):
+                    return end
+            elif size := last[at]:
+                before = word[at - size : at]
+                ok = pairs.get((before, piece))
+                if self._follows(before, piece) if ok is None else ok:
+                    return end - at
         return 0
 
     def _ids(self, pieces: list[str]) -> list[int]:
@@ -120,10 +134,9 @@ class Model:
             self.words[word] = np.asarray(self._ids(pieces), "<i4").tobytes()
             before = word
 
-    @staticmethod
-    def split(text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
         """Marked words: no piece spans a space that follows another character, or a line feed."""
-        return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.word.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         rows = [self.split(t) for t in texts]
