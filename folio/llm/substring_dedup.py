@@ -219,7 +219,7 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     classes = scratch.save(parts.groupBy("h").agg(F.min(at).alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("across"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)]), "classes")
     pairs = scratch.save(_candidates(classes), "pairs")
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    homes = links.only(classes.withColumnRenamed("h", "id"), ids, "id").select("first.doc_id", "first.no")
+    homes = classes.select(F.col("h").alias("id"), "first.doc_id", "first.no").join(ids.hint("merge"), "id", "left_semi").select("doc_id", "no")
     homes = scratch.save(homes.groupBy("doc_id").agg(F.collect_list("no").alias("nos")), "homes")  # at most a document's paragraphs
     sets = scratch.save(paragraph_sets(links.joined(docs, homes, ids.count())).groupBy("id").agg(F.min("items").alias("items")), "sets")
     group = links.components(scratch.save(links.verified(pairs, sets), "links"), scratch)
@@ -228,8 +228,7 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     kept = linked.select("h", "component").join(head, "component").select("h", "first")
     alone = classes.where("across").join(group, classes["h"] == group["id"], "left_anti").select("h", "first")
     kept = scratch.save(kept.unionByName(alone), "kept")
-    few = kept.count() <= links.BROADCAST_ROWS
-    found = parts.select("doc_id", "no", "word", "words", "h").join(F.broadcast(kept) if few else kept, "h").where(F.col("first.doc_id") != F.col("doc_id"))
+    found = parts.select("doc_id", "no", "word", "words", "h").join(kept.hint("merge"), "h").where(F.col("first.doc_id") != F.col("doc_id"))
     # Islands of paragraphs of one document against one other: each window holds the paragraphs of one document.
     w = Window.partitionBy("doc_id", "other").orderBy("no")
     rows = found.select("doc_id", F.col("first.doc_id").alias("other"), "no", "word", "words", F.col("first.word").alias("p"), F.col("first.words").alias("pw"))
