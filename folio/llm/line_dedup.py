@@ -11,10 +11,13 @@ of 0.75 or more. A line goes if any earlier line, by (doc_id, line), matches it.
    token's slot, then the token: one order for all lines, which is all that the prefix
    filter needs) and deals its first n // 4 + 1 tokens by hash, packed as bytes.
 3. Lines that share a dealt token are candidates if their lengths, the token's positions
-   and a 128-bit map of their tokens leave room for the overlap; pairs are made in NumPy.
-   Of the candidates that a line has under one token, two are verified first. That
-   settles groups of near copies without their pairs; a line that has more and matches
-   neither is then tried with all of them.
+   and a 128-bit parity map of their tokens leave room for the overlap. Entries of a
+   token lie in order of length, so that a line meets only those of fitting lengths, and
+   the shorter of two only with its first n // 7 + 1 tokens. Of the earlier candidates
+   that a line has under one token, two are verified first. That settles groups of near
+   copies without their pairs. Lines that have more and matched neither are dealt again,
+   with the lines that share a prefix token's slot with one of them, and are tried with
+   all their candidates.
 4. Candidates are verified on their full sets.
 """
 
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +40,11 @@ SLOT_BITS, HASH_BITS = 16, 50
 LOW_BITS = HASH_BITS - SLOT_BITS
 _MOST_LINES = 1 << (64 - HASH_BITS)
 _FLUSH = 1 << 19
-_ENTRY = np.dtype([("doc", "<i8"), ("bits", "<u8", 2), ("token", "<u4"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4")])
+_ENTRY = np.dtype([("doc", "<i8"), ("bits", "<u8", 2), ("token", "<u4"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("open", "u1")])
 #: Candidates of a line under one token that are verified first.
 FIRST = 2
-#: Lines under one token beyond which the first candidates are the two nearest of the earlier lines and their earliest.
-CROWD = 4096
+#: Slots of prefix tokens, by hash, in the map of those that open lines hold; its size is fixed.
+OPEN_BITS = 18
 _LINE = "struct<doc_id: long, line: int>"
 
 
@@ -120,8 +124,39 @@ def slot_ranks(surveyed: DataFrame) -> np.ndarray:
     return ranks
 
 
-def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
-    """(part, entries): prefix tokens of each line not in the row's array `skip`, packed by part."""
+def _numbers(lists: list[list[int] | None], text: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which lines' numbers are in the list of their text; no list holds none."""
+    out = np.zeros(len(text), bool)
+    for t in np.unique(text).tolist():
+        if lists[t]:
+            out[text == t] = np.isin(line[text == t], lists[t])
+    return out
+
+
+def _dealt(wh: np.ndarray, owner: np.ndarray, n: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, line, position, sizes) of the prefix tokens of n lines, and the lines' sizes."""
+    tokens, sizes = token_sets(wh, owner, n, ranks)
+    own = np.repeat(np.arange(n), sizes)
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    pick = at <= sizes[own] // 4
+    return mix(tokens[pick]), own[pick], at[pick], sizes
+
+
+def packed(e: np.ndarray) -> bytes:
+    """Entries byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(e.view(np.uint8).reshape(-1, _ENTRY.itemsize).T.tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(_ENTRY.itemsize, -1).T).reshape(-1).view(_ENTRY)
+
+
+def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(part, entries): prefix tokens of each line not in the row's array `skip`, packed by part.
+
+    wanted: with it, only tokens of these slots; then the lines in the row's array `nos` are open.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, dealt, rows = [], [], 0
@@ -132,32 +167,27 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             e, part = e[order], part[order]
             which, at = np.unique(part, return_index=True)
-            blobs = [x.tobytes() for x in np.split(e, at[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(which), pa.array(blobs, pa.binary())], names=["part", "entries"])
+            return pa.RecordBatch.from_arrays([pa.array(which), pa.array([packed(x) for x in np.split(e, at[1:])], pa.binary())], names=["part", "entries"])
 
         for batch in batches:
             ids, skips = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            nos = None if wanted is None else batch.column(3).to_pylist()
             for text, line, wh, owner in _lines(binary_column(batch, "text")):
-                keep = np.ones(len(text), bool)
-                for t in np.unique(text).tolist():
-                    if skips[t]:
-                        keep[text == t] = ~np.isin(line[text == t], skips[t])
-                stay = keep[owner]
+                stay = ~_numbers(skips, text, line)[owner]
                 plain, sizes = token_sets(wh[stay], owner[stay], len(text))
-                tokens, _ = token_sets(wh[stay], owner[stay], len(text), ranks)
-                own = np.repeat(np.arange(len(text)), sizes)
                 bit = _U(1) << plain % _U(64)
                 half = plain >> _U(6) & _U(1)
-                bits = np.stack([_sums(np.where(half == k, bit, _U(0)), sizes, np.bitwise_or) for k in (0, 1)], 1)
-                at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                pick = at <= sizes[own] // 4
-                e = np.empty(int(pick.sum()), _ENTRY)
-                own = own[pick]
+                bits = np.stack([_sums(np.where(half == k, bit, _U(0)), sizes, np.bitwise_xor) for k in (0, 1)], 1)
+                spread, own, at, _ = _dealt(wh[stay], owner[stay], len(text), ranks)
+                is_open = np.zeros(len(text), bool) if nos is None else _numbers(nos, text, line)
+                if wanted is not None:
+                    pick = wanted[(spread >> _U(64 - OPEN_BITS)).astype(np.int64)]
+                    spread, own, at = spread[pick], own[pick], at[pick]
+                e = np.empty(len(own), _ENTRY)
                 # Within a part, 32 bits of a token's hash tell tokens apart; two that do not only make candidates.
-                spread = mix(tokens[pick])
                 dealt.append((spread % _U(parts)).astype(np.int32))
-                e["token"], e["bits"], e["n"], e["at"] = spread >> _U(32), bits[own], sizes[own], at[pick]
-                e["doc"], e["line"] = ids[text[own]], line[own]
+                e["token"], e["bits"], e["n"], e["at"] = spread >> _U(32), bits[own], sizes[own], at
+                e["doc"], e["line"], e["open"] = ids[text[own]], line[own], is_open[own]
                 held.append(e)
                 rows += len(e)
                 if rows >= _FLUSH:
@@ -169,92 +199,92 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, entries binary")
 
 
-def _fits(e: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs of entries of one token the length, position and bit-map filters leave."""
-    n, at, bits = e["n"].astype(np.int64), e["at"].astype(np.int64), e["bits"]
-    total = n[left] + n[right]
-    need = -(-3 * total // 7)  # Jaccard of 3/4: 4 * shared >= 3 * (total - shared)
-    ok = 4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right])
-    ok &= np.minimum(n[left] - at[left], n[right] - at[right]) >= need
-    ok &= (e["doc"][left] != e["doc"][right]) | (e["line"][left] != e["line"][right])
-    ok[ok] = np.bitwise_count(bits[left[ok]] ^ bits[right[ok]]).sum(1, dtype=np.int64) <= (total - 2 * need)[ok]
-    return ok
+def open_slots(docs: DataFrame, ranks: np.ndarray) -> np.ndarray:
+    """The slots of the prefix tokens of the lines in the rows' arrays `nos`. The driver gets a fixed number of slots at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << OPEN_BITS, bool)
+        for batch in batches:
+            nos = batch.column(2).to_pylist()
+            for text, line, wh, owner in _lines(binary_column(batch, "text")):
+                stay = _numbers(nos, text, line)[owner]
+                seen[(_dealt(wh[stay], owner[stay], len(text), ranks)[0] >> _U(64 - OPEN_BITS)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["slot"])
 
+    out = np.zeros(1 << OPEN_BITS, bool)
+    out[docs.select("doc_id", "text", "nos").mapInArrow(run, "slot int").distinct().toArrow().column(0).to_numpy()] = True
+    return out
 
-def pairs_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, rest, more) of sorted entries: candidate pairs, left the earlier line, at most FIRST for each entry
-    on the right; the entries whose pairs may still be needed, and which of them have more candidates than were given.
+
+def pairs_of(e: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, more) of entries sorted by (token, n, doc, line): candidate pairs, right the later line, and for each
+    entry whether it has more candidates than were given: at most `most` as the later line, or all of the open ones'.
     """
-    new = np.concatenate([[True], e["token"][1:] != e["token"][:-1]]) if len(e) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    size = np.diff(np.concatenate([begin, [len(e)]]))
-    first, crowd = np.repeat(begin, size), np.repeat(size > CROWD, size)
-    here, count, met = np.arange(len(e)), np.zeros(len(e), np.int64), crowd.copy()
-    lefts, rights = [here[:0]], [here[:0]]
-
-    def attempt(left: np.ndarray, right: np.ndarray) -> None:
-        ok = _fits(e, left, right)
-        left, right = left[ok], right[ok]
-        met[left] = met[right] = True
-        count[right] += 1
-        take = count[right] <= FIRST
-        lefts.append(left[take])
-        rights.append(right[take])
-
-    x, step = here[here > first], 1
-    while len(x := x[(x - step >= first[x]) & (~crowd[x] | (step <= FIRST))]):
-        attempt(x - step, x)
-        step += 1
-    x = here[crowd & (here > first + FIRST)]
-    count[x] = 0
-    attempt(first[x], x)
-    more = (count > FIRST) | crowd
-    rest = np.flatnonzero(met & np.repeat(np.add.reduceat(more, begin) > 0, size)) if len(e) else here
-    return np.concatenate(lefts), np.concatenate(rights), rest, more[rest]
+    n, at, doc, line = (e[k].astype(np.int64) for k in ("n", "at", "doc", "line"))
+    b0, b1 = np.ascontiguousarray(e["bits"][:, 0]), np.ascontiguousarray(e["bits"][:, 1])
+    key = e["token"].astype(np.int64) << 31 | n
+    token = key & ~np.int64((1 << 31) - 1)
+    short = np.flatnonzero(at <= n // 7)  # Jaccard of 3/4: of two lines, the shorter shares 6/7 of its tokens at least
+    count = np.zeros(len(e), np.int64)
+    lefts, rights = [short[:0]], [short[:0]]
+
+    def attempt(x: np.ndarray, other: np.ndarray) -> None:
+        total = n[x] + n[other]
+        need = -(-3 * total // 7)  # 4 * shared >= 3 * (total - shared)
+        ok = np.minimum(n[x] - at[x], n[other] - at[other]) >= need
+        ok &= (doc[other] < doc[x]) | (doc[other] == doc[x]) & (line[other] < line[x])
+        x, other, room = x[ok], other[ok], (total - 2 * need)[ok]
+        ok = np.bitwise_count(b0[x] ^ b0[other]).astype(np.int64) + np.bitwise_count(b1[x] ^ b1[other]) <= room
+        x, other = x[ok], other[ok]
+        count[x] += 1
+        take = slice(None) if most is None else count[x] <= most
+        lefts.append(other[take])
+        rights.append(x[take])
+
+    def walk(x: np.ndarray, start: np.ndarray, stop: np.ndarray, step: int, among: np.ndarray | None) -> None:
+        """Tries each of x with the entries from start to before stop, until it has more candidates than are wanted."""
+        if most is None:
+            some = e["open"][x] > 0
+            x, start, stop = x[some], start[some], stop[some]
+        k = 0
+        while True:
+            some = (start + k * step - stop) * step < 0
+            if most is not None:
+                some &= count[x] <= most
+            x, start, stop = x[some], start[some], stop[some]
+            if not len(x):
+                return
+            other = start + k * step
+            attempt(x, other if among is None else among[other])
+            k += 1
+
+    every = np.arange(len(e))
+    walk(every, np.searchsorted(short, every) - 1, np.searchsorted(key[short], token | -(-3 * n // 4)) - 1, -1, short)
+    walk(short, np.searchsorted(key, key[short], "right"), np.searchsorted(key, token[short] | 4 * n[short] // 3, "right"), 1, None)
+    return np.concatenate(lefts), np.concatenate(rights), count > (len(e) if most is None else most)
 
 
 def _ids(e: np.ndarray) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(e["doc"]), pa.array(e["line"].astype(np.int32))], names=["doc_id", "line"])
 
 
-def candidates(packed: DataFrame) -> DataFrame:
-    """Rows (a, b) of candidate pairs; and rows (part, token, b, n, at, bits, more) of the entries whose pairs may still be needed."""
-    schema = f"part int, token long, a {_LINE}, b {_LINE}, n int, at int, bits binary, more boolean"
+def candidates(packed: DataFrame, most: int | None) -> DataFrame:
+    """Rows (a, b) of candidate pairs, at most `most` for each later line and token; and rows (null, b) of the lines that have more.
 
-    def run(group: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(group.column("entries").to_pylist()), _ENTRY)
-        e = e[np.lexsort((e["line"], e["doc"], e["token"]))]
-        left, right, rest, more = pairs_of(e)
-        once = np.unique(np.stack([e["doc"][left], e["line"][left], e["doc"][right], e["line"][right]]), axis=1, return_index=True)[1] if len(left) else left
-        left, right, x = left[once], right[once], e[rest]
-        none = [pa.nulls(len(once), t) for t in (pa.int32(), pa.int64())]
-        kind = pa.struct([("doc_id", pa.int64()), ("line", pa.int32())])
-        pairs = pa.table([*none, _ids(e[left]), _ids(e[right]), pa.nulls(len(once), pa.int32()), pa.nulls(len(once), pa.int32()), pa.nulls(len(once), pa.binary()), pa.nulls(len(once), pa.bool_())], names="part token a b n at bits more".split())
-        bits = [b.tobytes() for b in x["bits"]]
-        rest = pa.table([pa.array(np.full(len(x), group.column("part")[0].as_py(), np.int32)), pa.array(x["token"].astype(np.int64)), pa.nulls(len(x), kind), _ids(x), pa.array(x["n"].astype(np.int32)), pa.array(x["at"].astype(np.int32)), pa.array(bits, pa.binary()), pa.array(more)], names=pairs.column_names)
-        return pa.concat_tables([pairs, rest])
-
-    return packed.groupBy("part").applyInArrow(run, schema)
-
-
-def crowd_pairs(crowds: DataFrame, settled: DataFrame) -> DataFrame:
-    """The other candidate pairs (a, b) of the lines that are not settled; settled: (id) of the lines that have a match."""
-    rows = crowds.join(settled.withColumn("done", F.lit(True)), crowds["b"] == settled["id"], "left")
-    rows = rows.select("part", "token", F.col("b.doc_id").alias("doc"), F.col("b.line").alias("line"), "n", "at", "bits", (F.col("more") & F.col("done").isNull()).alias("open"))
+    most None: all pairs of the open lines.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, doc, line, n, at, bits, open_ in links.runs(batches, 2):
-            e = np.empty(len(doc), _ENTRY)
-            e["doc"], e["line"], e["n"], e["at"] = doc, line, n, at
-            e["bits"] = np.frombuffer(b"".join(bits), "<u8").reshape(-1, 2)
-            for x in np.flatnonzero(open_.astype(bool)).tolist():
-                left = np.arange(x)
-                left = left[_fits(e, left, np.full(x, x))]
-                if len(left):
-                    yield pa.RecordBatch.from_arrays([_ids(e[left]), _ids(e[np.full(len(left), x)])], names=["a", "b"])
+    def run(group: pa.Table) -> pa.Table:
+        e = np.concatenate([unpacked(x) for x in group.column("entries").to_pylist()])
+        e = e[np.lexsort((e["line"], e["doc"], e["n"], e["token"]))]
+        left, right, more = pairs_of(e, most)
+        names = np.stack([e["doc"][left], e["line"][left], e["doc"][right], e["line"][right]], 1)
+        once = np.unique(names, axis=0, return_index=True)[1]
+        left, right, x = left[once], right[once], e[:0] if most is None else np.unique(e[more][["doc", "line"]])
+        pairs = pa.table([_ids(e[left]), _ids(e[right])], names=["a", "b"])
+        return pa.concat_tables([pairs, pa.table([pa.nulls(len(x), pairs.schema.field("a").type), _ids(x)], names=["a", "b"])])
 
-    dealt = rows.repartition("part", "token").sortWithinPartitions("part", "token", "doc", "line")
-    return dealt.mapInArrow(run, f"a {_LINE}, b {_LINE}").distinct()
+    return packed.groupBy("part").applyInArrow(run, f"a {_LINE}, b {_LINE}")
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
@@ -305,11 +335,16 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     skip = scratch.save(again.groupBy("doc_id").agg(F.collect_list("line").alias("skip")), "skip")  # at most a document's lines
     rest = links.joined(docs, skip, again.count(), "left").select("doc_id", "text", "skip")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.save(candidates(prefixes(rest, ranks, parts)), "candidates")
-    linked = _confirmed(found.where("a is not null").select("a", "b").distinct(), docs, scratch)
-    settled = linked.select(F.col("b").alias("id")).distinct()
-    crowd = scratch.save(crowd_pairs(found.where("a is null"), settled), "crowd")
-    linked = linked.union(_confirmed(crowd, docs, scratch))
+    found = scratch.save(candidates(prefixes(rest, ranks, parts), FIRST), "candidates")
+    linked = _confirmed(found.where("a is not null").distinct(), docs, scratch)
+    unsettled = found.where("a is null").select("b").distinct().join(linked.select("b").distinct(), "b", "left_anti")
+    left = scratch.save(unsettled.groupBy("b.doc_id").agg(F.collect_list("b.line").alias("nos")), "open")  # at most a document's lines
+    if left.limit(1).count():
+        items = left.agg(F.sum(F.size("nos"))).first()[0]
+        slots = open_slots(links.joined(docs, left, items), ranks)
+        again_dealt = links.joined(rest, left, items, "left").select("doc_id", "text", "skip", "nos")
+        others = scratch.save(candidates(prefixes(again_dealt, ranks, parts, slots), None), "candidates")
+        linked = linked.union(_confirmed(others.distinct(), docs, scratch))
     best = linked.groupBy("b").agg(F.min("a").alias("m"))
     copies = again.join(best, again["first"] == best["b"], "left").select("doc_id", "line", F.coalesce("m", "first").alias("m"))
     new = best.select("b.doc_id", "b.line", "m")

@@ -98,9 +98,9 @@ def brute_lines(texts):
     return want
 
 
-@pytest.mark.parametrize("crowd", [4096, 3])
-def test_line_matches(docs, texts, scratch, crowd, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+@pytest.mark.parametrize("first", [4096, 3])
+def test_line_matches(docs, texts, scratch, first, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FIRST", first)
     want = brute_lines(texts)
     rows = line_dedup.matches(docs, scratch).collect()
     got = {(r["doc_id"], r["line"]): (r["match_doc_id"], r["match_line"]) for r in rows}
@@ -108,9 +108,9 @@ def test_line_matches(docs, texts, scratch, crowd, monkeypatch):
     assert all(m in want[k] for k, m in got.items())
 
 
-@pytest.mark.parametrize("crowd", [4096, 10])
-def test_line_crowds(spark, scratch, crowd, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+@pytest.mark.parametrize("first", [2, 1, 0])
+def test_line_crowds(spark, scratch, first, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FIRST", first)
     rng = random.Random(2)
     base = [f"c{i}" for i in range(24)]
     texts = {}
