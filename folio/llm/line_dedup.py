@@ -11,7 +11,7 @@ of 0.75 or more. A line goes if any earlier line, by (doc_id, line), matches it.
    token's slot, then the token: one order for all lines, which is all that the prefix
    filter needs) and deals its first n // 4 + 1 tokens by hash, packed as bytes.
 3. Lines that share a dealt token are candidates if their lengths, the token's positions
-   and a 128-bit parity map of their tokens leave room for the overlap. Entries of a
+   and parity maps of their tokens, 128 bits or 256 for long lines, leave room for the overlap. Entries of a
    token lie in order of length, so that a line meets only those of fitting lengths, and
    the shorter of two only with its first n // 7 + 1 tokens. Of the earlier candidates
    that a line has under one token, two are verified first. That settles groups of near
@@ -40,11 +40,13 @@ SLOT_BITS, HASH_BITS = 16, 50
 LOW_BITS = HASH_BITS - SLOT_BITS
 _MOST_LINES = 1 << (64 - HASH_BITS)
 _FLUSH = 1 << 19
-_ENTRY = np.dtype([("doc", "<i8"), ("bits", "<u8", 2), ("token", "<u4"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("open", "u1")])
+_ENTRY = np.dtype([("doc", "<i8"), ("bits", "<u8", 2), ("upper", "<u8", 2), ("token", "<u4"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("open", "u1")])
 #: Candidates of a line under one token that are verified first.
 FIRST = 2
 #: Slots of prefix tokens, by hash, in the map of those that open lines hold; its size is fixed.
-OPEN_BITS = 18
+OPEN_BITS = 20
+#: Lines of more tokens have parity maps of 256 bits, whose halves together are the map of 128.
+LONG = 128
 _LINE = "struct<doc_id: long, line: int>"
 
 
@@ -176,8 +178,10 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int, wanted: np.ndarray
                 stay = ~_numbers(skips, text, line)[owner]
                 plain, sizes = token_sets(wh[stay], owner[stay], len(text))
                 bit = _U(1) << plain % _U(64)
-                half = plain >> _U(6) & _U(1)
-                bits = np.stack([_sums(np.where(half == k, bit, _U(0)), sizes, np.bitwise_xor) for k in (0, 1)], 1)
+                word = plain >> _U(6) & _U(3)
+                quarter = [_sums(np.where(word == k, bit, _U(0)), sizes, np.bitwise_xor) for k in range(4)]
+                bits = np.stack([quarter[0] ^ quarter[2], quarter[1] ^ quarter[3]], 1)
+                upper = np.where((sizes > LONG)[:, None], np.stack(quarter[2:], 1), _U(0))
                 spread, own, at, _ = _dealt(wh[stay], owner[stay], len(text), ranks)
                 is_open = np.zeros(len(text), bool) if nos is None else _numbers(nos, text, line)
                 if wanted is not None:
@@ -186,7 +190,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int, wanted: np.ndarray
                 e = np.empty(len(own), _ENTRY)
                 # Within a part, 32 bits of a token's hash tell tokens apart; two that do not only make candidates.
                 dealt.append((spread % _U(parts)).astype(np.int32))
-                e["token"], e["bits"], e["n"], e["at"] = spread >> _U(32), bits[own], sizes[own], at
+                e["token"], e["bits"], e["upper"], e["n"], e["at"] = spread >> _U(32), bits[own], upper[own], sizes[own], at
                 e["doc"], e["line"], e["open"] = ids[text[own]], line[own], is_open[own]
                 held.append(e)
                 rows += len(e)
@@ -221,7 +225,7 @@ def pairs_of(e: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, n
     entry whether it has more candidates than were given: at most `most` as the later line, or all of the open ones'.
     """
     n, at, doc, line = (e[k].astype(np.int64) for k in ("n", "at", "doc", "line"))
-    b0, b1 = np.ascontiguousarray(e["bits"][:, 0]), np.ascontiguousarray(e["bits"][:, 1])
+    lower, upper = e["bits"].T.copy(), e["upper"].T.copy()
     key = e["token"].astype(np.int64) << 31 | n
     token = key & ~np.int64((1 << 31) - 1)
     short = np.flatnonzero(at <= n // 7)  # Jaccard of 3/4: of two lines, the shorter shares 6/7 of its tokens at least
@@ -234,8 +238,13 @@ def pairs_of(e: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, n
         ok = np.minimum(n[x] - at[x], n[other] - at[other]) >= need
         ok &= (doc[other] < doc[x]) | (doc[other] == doc[x]) & (line[other] < line[x])
         x, other, room = x[ok], other[ok], (total - 2 * need)[ok]
-        ok = np.bitwise_count(b0[x] ^ b0[other]).astype(np.int64) + np.bitwise_count(b1[x] ^ b1[other]) <= room
-        x, other = x[ok], other[ok]
+        both_long = np.where(np.minimum(n[x], n[other]) > LONG, ~_U(0), _U(0))
+        differ = np.zeros(len(x), np.int64)
+        for low, up in zip(lower, upper):
+            high = (up[x] ^ up[other]) & both_long
+            differ += np.bitwise_count(low[x] ^ low[other] ^ high)
+            differ += np.bitwise_count(high)
+        x, other = x[differ <= room], other[differ <= room]
         count[x] += 1
         take = slice(None) if most is None else count[x] <= most
         lefts.append(other[take])
