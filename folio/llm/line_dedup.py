@@ -135,13 +135,21 @@ def _numbers(lists: list[list[int] | None], text: np.ndarray, line: np.ndarray)
     return out
 
 
-def _dealt(wh: np.ndarray, owner: np.ndarray, n: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, line, position, sizes) of the prefix tokens of n lines, and the lines' sizes."""
-    tokens, sizes = token_sets(wh, owner, n, ranks)
-    own = np.repeat(np.arange(n), sizes)
+def _dealt(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, line, position) of the prefix tokens of lines."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     pick = at <= sizes[own] // 4
-    return mix(tokens[pick]), own[pick], at[pick], sizes
+    return mix(tokens[pick]), own[pick], at[pick]
+
+
+def _maps(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity maps of lines: the halves together, and the upper half of long ones. Their bits are those that ranks leave as they are."""
+    bit = _U(1) << tokens % _U(64)
+    word = tokens >> _U(6) & _U(3)
+    quarter = [_sums(np.where(word == k, bit, _U(0)), sizes, np.bitwise_xor) for k in range(4)]
+    upper = np.where((sizes > LONG)[:, None], np.stack(quarter[2:], 1), _U(0))
+    return np.stack([quarter[0] ^ quarter[2], quarter[1] ^ quarter[3]], 1), upper
 
 
 def packed(e: np.ndarray) -> bytes:
@@ -176,17 +184,15 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, parts: int, wanted: np.ndarray
             nos = None if wanted is None else batch.column(3).to_pylist()
             for text, line, wh, owner in _lines(binary_column(batch, "text")):
                 stay = ~_numbers(skips, text, line)[owner]
-                plain, sizes = token_sets(wh[stay], owner[stay], len(text))
-                bit = _U(1) << plain % _U(64)
-                word = plain >> _U(6) & _U(3)
-                quarter = [_sums(np.where(word == k, bit, _U(0)), sizes, np.bitwise_xor) for k in range(4)]
-                bits = np.stack([quarter[0] ^ quarter[2], quarter[1] ^ quarter[3]], 1)
-                upper = np.where((sizes > LONG)[:, None], np.stack(quarter[2:], 1), _U(0))
-                spread, own, at, _ = _dealt(wh[stay], owner[stay], len(text), ranks)
+                tokens, sizes = token_sets(wh[stay], owner[stay], len(text), ranks)
+                spread, own, at = _dealt(tokens, sizes)
                 is_open = np.zeros(len(text), bool) if nos is None else _numbers(nos, text, line)
                 if wanted is not None:
                     pick = wanted[(spread >> _U(64 - OPEN_BITS)).astype(np.int64)]
                     spread, own, at = spread[pick], own[pick], at[pick]
+                dealt_lines = np.zeros(len(text), bool)
+                dealt_lines[own] = True
+                bits, upper = _maps(tokens[np.repeat(dealt_lines, sizes)], np.where(dealt_lines, sizes, 0))
                 e = np.empty(len(own), _ENTRY)
                 # Within a part, 32 bits of a token's hash tell tokens apart; two that do not only make candidates.
                 dealt.append((spread % _U(parts)).astype(np.int32))
@@ -212,7 +218,8 @@ def open_slots(docs: DataFrame, ranks: np.ndarray) -> np.ndarray:
             nos = batch.column(2).to_pylist()
             for text, line, wh, owner in _lines(binary_column(batch, "text")):
                 stay = _numbers(nos, text, line)[owner]
-                seen[(_dealt(wh[stay], owner[stay], len(text), ranks)[0] >> _U(64 - OPEN_BITS)).astype(np.int64)] = True
+                spread = _dealt(*token_sets(wh[stay], owner[stay], len(text), ranks))[0]
+                seen[(spread >> _U(64 - OPEN_BITS)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["slot"])
 
     out = np.zeros(1 << OPEN_BITS, bool)
@@ -228,15 +235,20 @@ def pairs_of(e: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, n
     lower, upper = e["bits"].T.copy(), e["upper"].T.copy()
     key = e["token"].astype(np.int64) << 31 | n
     token = key & ~np.int64((1 << 31) - 1)
-    short = np.flatnonzero(at <= n // 7)  # Jaccard of 3/4: of two lines, the shorter shares 6/7 of its tokens at least
+    left_after = n - at
+    is_short = at <= n // 7
+    short = np.flatnonzero(is_short)  # Jaccard of 3/4: of two lines, the shorter shares 6/7 of its tokens at least
     count = np.zeros(len(e), np.int64)
     lefts, rights = [short[:0]], [short[:0]]
 
     def attempt(x: np.ndarray, other: np.ndarray) -> None:
+        d, o = doc[x], doc[other]
+        ok, same = o < d, np.flatnonzero(o == d)
+        ok[same] = line[other[same]] < line[x[same]]
+        x, other = x[ok], other[ok]
         total = n[x] + n[other]
         need = -(-3 * total // 7)  # 4 * shared >= 3 * (total - shared)
-        ok = np.minimum(n[x] - at[x], n[other] - at[other]) >= need
-        ok &= (doc[other] < doc[x]) | (doc[other] == doc[x]) & (line[other] < line[x])
+        ok = np.minimum(left_after[x], left_after[other]) >= need
         x, other, room = x[ok], other[ok], (total - 2 * need)[ok]
         both_long = np.where(np.minimum(n[x], n[other]) > LONG, ~_U(0), _U(0))
         differ = np.zeros(len(x), np.int64)
@@ -268,7 +280,7 @@ def pairs_of(e: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, n
             k += 1
 
     every = np.arange(len(e))
-    walk(every, np.searchsorted(short, every) - 1, np.searchsorted(key[short], token | -(-3 * n // 4)) - 1, -1, short)
+    walk(every, np.cumsum(is_short) - is_short - 1, np.searchsorted(key[short], token | -(-3 * n // 4)) - 1, -1, short)
     walk(short, np.searchsorted(key, key[short], "right"), np.searchsorted(key, token[short] | 4 * n[short] // 3, "right"), 1, None)
     return np.concatenate(lefts), np.concatenate(rights), count > (len(e) if most is None else most)
 
@@ -285,7 +297,7 @@ def candidates(packed: DataFrame, most: int | None) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         e = np.concatenate([unpacked(x) for x in group.column("entries").to_pylist()])
-        e = e[np.lexsort((e["line"], e["doc"], e["n"], e["token"]))]
+        e = e[np.lexsort((e["line"], e["doc"], e["token"].astype(np.int64) << 31 | e["n"]))]
         left, right, more = pairs_of(e, most)
         names = np.stack([e["doc"][left], e["line"][left], e["doc"][right], e["line"][right]], 1)
         once = np.unique(names, axis=0, return_index=True)[1]
