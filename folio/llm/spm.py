@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from folio.llm.text import binary_column
@@ -138,14 +139,25 @@ class Model:
         """Marked words: no piece spans a space that follows another character, or a line feed."""
         return self.word.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of all texts end to end, and where each text's begin and the last one's end."""
         rows = [self.split(t) for t in texts]
         self.learn({w for r in rows for w in r})
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, r)), "<i4") for r in rows]
+        blobs = [b"".join(map(self.words.__getitem__, r)) for r in rows]
+        return np.frombuffer(b"".join(blobs), "<i4"), np.cumsum([0, *(len(b) // 4 for b in blobs)])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return raw[1:] if raw[:1] == b" " else raw
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, bounds = self.flat(texts)
+        return np.split(ids, bounds[1:-1])
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The texts of ids end to end, sizes[k] of them for text k."""
+        got, at, out = list(map(self.bytes_of.__getitem__, ids.tolist())), 0, []
+        for n in sizes.tolist():
+            raw = b"".join(got[at : at + n])
+            out.append(raw[1:] if raw[:1] == b" " else raw)
+            at += n
+        return out
 
 
 _models: dict[str, Model] = {}
@@ -169,8 +181,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                ids = m.encode([t.decode() for t in binary_column(part, "text")])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ids, bounds = m.flat([t.decode() for t in binary_column(part, "text")])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -183,7 +196,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                texts = [m.decode(np.asarray(x or [], np.int32)) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=["doc_id", "ids", "text"])
+                ids, sizes = part.column(1).flatten().fill_null(m.unknown), pc.list_value_length(part.column(1)).fill_null(0)
+                texts = m.decode(ids.to_numpy(), sizes.to_numpy())
+                try:
+                    text = pa.array(texts, pa.binary()).cast(pa.string())
+                except pa.ArrowInvalid:  # ids whose bytes are no UTF-8
+                    text = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
