@@ -140,6 +140,65 @@ def block_links(entries: DataFrame, likely: Callable[[np.ndarray, np.ndarray], n
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _blocks(entries: DataFrame) -> DataFrame:
+    """entries (bucket, n, id, ...) with i, j, own: a bucket of more than BLOCK rows is cut into blocks by hash, and each pair of blocks is a piece."""
+    cut = entries.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+
+def near_pairs(sets: list[np.ndarray], grp: np.ndarray, side: np.ndarray, share: int = SHARE) -> list[tuple[int, int]]:
+    """Pairs of sets that link different groups; of two that are linked by others already, none. Only sets of differing sides, or of side 0, are compared.
+
+    Of two sets that pass, each holds a common value among its first n - ceil(share * n) + 1,
+    rarest first. So a value that all sets hold makes no candidates where others are left.
+    """
+    sizes, grp = np.array([len(x) for x in sets]), grp.copy()
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, value, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((value, held[value], owner))
+    value, owner = value[order], owner[order]
+    at = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    pick = (at <= sizes[owner] - -(-share * sizes[owner] // 100)) & (held[value] > 1)
+    value, owner = value[pick], owner[pick]
+    order = np.lexsort((owner, value))
+    value, owner = value[order], owner[order]
+    bounds = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
+    found: list[tuple[int, int]] = []
+    for a in np.flatnonzero(np.diff(bounds) > 1).tolist():
+        members = owner[bounds[a] : bounds[a + 1]]
+        while len(members) > 1:
+            x, members = members[0], members[1:]
+            y = members[(grp[members] != grp[x]) & ((side[members] != side[x]) | (side[x] == 0))]
+            y = y[100 * np.minimum(sizes[y], sizes[x]) >= share * np.maximum(sizes[y], sizes[x])]
+            if not len(y):
+                continue
+            both = hits(sets[x], [sets[k] for k in y])
+            for k in y[100 * both >= share * (sizes[x] + sizes[y] - both)].tolist():
+                if grp[k] != grp[x]:
+                    found.append((int(x), k))
+                    grp[grp == grp[k]] = grp[x]
+    return found
+
+
+def prefix_links(entries: DataFrame, share: int = SHARE) -> DataFrame:
+    """The links (a, b) of one bucket between different groups, as block_links, but found by the rarest values of full sets.
+
+    entries: (bucket, n, id, grp, items): n the bucket's rows. Only links become rows.
+    """
+    dealt = _blocks(entries).select("bucket", "i", "j", "own", "id", "grp", "items").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, i, j, own, ids, grp, items in runs(batches, 3):
+            side = np.where(own == i[0], 1, 2) if i[0] != j[0] else np.zeros(len(ids), np.int64)
+            found = near_pairs([np.frombuffer(x, np.uint64) for x in items], grp, side, share)
+            if found:
+                x, y = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): for every id in links (a, b) the smallest id that it reaches.
 

@@ -12,7 +12,9 @@ on either side. A passage that two texts share is cut alike in both, but for its
    probability of 1/64.
 2. Equal paragraphs are classes, by partial aggregation. In each band's bucket, classes
    are compared with the first and with the next by hash; full sets confirm a similarity
-   of 0.75; components of links join classes.
+   of 0.75; components of links join classes. Buckets of four classes or more that still
+   hold several components are compared in blocks on full sets, so that no link between
+   components of a bucket is missed.
 3. In each component the earliest paragraph stays. Runs of later ones in a document,
    against one and the same earlier document, are stretched word by word as far as both
    texts agree. Runs of LEAST words or more are removed.
@@ -88,12 +90,12 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     cols[3].append((np.concatenate([starts[1:], [len(wh)]]) - starts).astype(np.int32))
                     cols[4].append(mix(np.add.reduceat(s, idx)[::2]).view(np.int64))
                     for b in range(BANDS):
-                        cols[5 + b].append((np.minimum.reduceat(s * _A[b], idx)[::2] >> _U(32)).astype(np.uint32).view(np.int32))
-                kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, *[np.int32] * BANDS]
+                        cols[5 + b].append(mix(np.minimum.reduceat(s * _A[b], idx)[::2] + _U(b)).view(np.int64))
+                kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, *[np.int64] * BANDS]
                 arrays = [pa.array(np.concatenate(c)) if c else pa.array(np.zeros(0, t)) for c, t in zip(cols, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "no", "word", "words", "h", *(f"m{b}" for b in range(BANDS))])
 
-    schema = "doc_id long, no int, word int, words int, h long, " + ", ".join(f"m{b} int" for b in range(BANDS))
+    schema = "doc_id long, no int, word int, words int, h long, " + ", ".join(f"m{b} long" for b in range(BANDS))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -119,9 +121,9 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text", "nos").mapInArrow(run, "id long, items binary")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in one bucket: each with the first, and with the next, by hash."""
-    keys = F.explode(F.array(*[F.col(f"m{b}").cast("long") * BANDS + b for b in range(BANDS)])).alias("key")
+def _met(classes: DataFrame) -> DataFrame:
+    """(key, first, before, h): each class of a bucket but its first, with the first and with the one before it, by hash."""
+    keys = F.explode(F.array(*[F.col(f"m{b}") for b in range(BANDS)])).alias("key")
     rows = classes.select(keys, "h").repartition("key").sortWithinPartitions("key", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +136,25 @@ def _candidates(classes: DataFrame) -> DataFrame:
             where = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
             start = np.where(where >= 0, h[where], first if first is not None else 0)
             prev = np.concatenate([[before if before is not None else 0], h[:-1]])
-            a = np.concatenate([start[~new], prev[~new]])
-            b = np.concatenate([h[~new], h[~new]])
             key, first, before = k[-1], start[-1], h[-1]
-            differ = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[differ]), pa.array(np.maximum(a, b)[differ])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[~new]) for c in (k, start, prev, h)], names=["key", "first", "before", "h"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "key long, first long, before long, h long")
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in one bucket: each with the first, and with the one before it."""
+    other = met.select("h", F.explode(F.array("first", "before")).alias("other")).where("h <> other")
+    return other.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+
+
+def _more_links(met: DataFrame, sets: DataFrame, group: DataFrame) -> DataFrame:
+    """The links (a, b) that are left between components of a bucket; in one of three classes every pair has been tried."""
+    large = met.groupBy("key").agg((F.count("*") + 1).alias("n"), F.min("first").alias("first")).where("n > 3")
+    members = met.join(large.select("key", "n"), "key").select("key", "n", F.col("h").alias("id")).union(large.select("key", "n", F.col("first").alias("id")))
+    own = members.join(group, "id", "left").select(F.col("key").alias("bucket"), "n", "id", F.coalesce("component", "id").alias("grp"))
+    mixed = own.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("bucket")
+    return links.prefix_links(own.join(mixed, "bucket").join(sets, "id"))
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
@@ -217,12 +231,16 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     parts = scratch.save(paragraphs(docs), "paragraphs")
     at = F.struct("doc_id", "no", "word", "words")
     classes = scratch.save(parts.groupBy("h").agg(F.min(at).alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("across"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)]), "classes")
-    pairs = scratch.save(_candidates(classes), "pairs")
+    met = scratch.save(_met(classes), "met")
+    pairs = scratch.save(_candidates(met), "pairs")
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     homes = classes.select(F.col("h").alias("id"), "first.doc_id", "first.no").join(ids.hint("merge"), "id", "left_semi").select("doc_id", "no")
     homes = scratch.save(homes.groupBy("doc_id").agg(F.collect_list("no").alias("nos")), "homes")  # at most a document's paragraphs
     sets = scratch.save(paragraph_sets(links.joined(docs, homes, ids.count())).groupBy("id").agg(F.min("items").alias("items")), "sets")
-    group = links.components(scratch.save(links.verified(pairs, sets), "links"), scratch)
+    near = scratch.save(links.verified(pairs, sets), "links")
+    more = scratch.save(_more_links(met, sets, links.components(near, scratch)), "more")
+    scratch.drop(met, pairs, ids, homes, sets)
+    group = links.components(near.union(more), scratch)
     linked = classes.join(group, classes["h"] == group["id"])
     head = linked.groupBy("component").agg(F.min("first").alias("first"))
     kept = linked.select("h", "component").join(head, "component").select("h", "first")

@@ -174,3 +174,30 @@ def test_empty_tables(empty, scratch):
     assert near_dedup.groups(empty, scratch).count() == 0
     assert line_dedup.dedup(empty, scratch).count() == 0
     assert substring_dedup.dedup(empty, scratch).count() == 0
+
+
+def test_crowded_buckets_lose_no_paragraph_link(spark, scratch, monkeypatch):
+    import numpy as np
+
+    from folio.llm import links
+
+    monkeypatch.setattr(links, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(20):  # two near copies each, all around one frequent value
+        x = rng.integers(1, 2**63, 11, dtype=np.uint64)
+        sets += [np.unique(np.append(x, np.uint64(0))), np.unique(np.append(x[:10], [np.uint64(0), rng.integers(1, 2**63, dtype=np.uint64)]))]
+    ids = rng.permutation(len(sets)).tolist()
+    want = {(min(ids[k], ids[k + 1]), max(ids[k], ids[k + 1])) for k in range(0, len(sets), 2)}
+    met = spark.createDataFrame([(5, 0, h - 1, h) for h in range(1, len(sets))], "key long, first long, before long, h long")
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in zip(ids, sets)], "id long, items binary")
+    tried = {(r["a"], r["b"]) for r in links.verified(substring_dedup._candidates(met), rows).collect()}
+    assert tried < want  # the first and the next alone miss some
+    group = links.components(spark.createDataFrame(sorted(tried), "a long, b long"), scratch)
+    more = {(r["a"], r["b"]) for r in substring_dedup._more_links(met, rows, group).collect()}
+    assert tried | more == want
+
+
+def test_band_keys_have_64_bits(docs):
+    rows = substring_dedup.paragraphs(docs.where("doc_id is not null")).collect()
+    assert max(abs(r["m0"]) for r in rows) > 2**40
