@@ -92,7 +92,7 @@ def json_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = F.concat(F.substring("text", 1, 40), F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit(" x ``"))
+    ticks = F.concat("text", F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit(" x ``"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_extract(fn.fenced(ticks), "^(`+)", 1)).cast("long").alias("fence"))
 
 

@@ -65,3 +65,11 @@ def test_sql_table_function(spark):
     spark.createDataFrame([(1, "one two three four five six")], "id int, t string").createOrReplaceTempView("texts")
     rows = spark.sql("SELECT id, c.text FROM texts, LATERAL md_split(t, 10, 0, 0) c ORDER BY c.start").collect()
     assert "".join(r["text"] for r in rows) == "one two three four five six"
+
+
+def test_fence_length_reads_whole_texts(spark, tmp_path):
+    from folio.queries import fence_length
+
+    texts = [(6, "x" * 60 + " ````` y"), (12, "`" * 50 + "z"), (2, "plain")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["fence"] for r in fence_length(spark, str(tmp_path)).collect()} == {6: 6, 12: 51, 2: 3}
