@@ -1,7 +1,7 @@
 """Licence scans over whole texts, in DataFrame functions alone.
 
 Base phrases are counted where their words stand consecutively. On top of that, every
-text block (a line) is joined with licence templates by exact containment: a template's
+text block (a line, or a window of words across line breaks) is joined with licence templates by exact containment: a template's
 distinct words are put in order of corpus frequency, rarest first; a block that holds a
 share T of them must hold one of its first |template| - ceil(T * |template|) + 1 words
 (prefix filter), have that many words at all (length filter), and leave enough of the
@@ -117,8 +117,34 @@ def frequencies(docs: DataFrame) -> dict[str, int]:
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in rows}
 
 
-def blocks(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """doc_id, block (line number from 0), label, share: every line that meets a template's containment threshold."""
+def _windows(low: Column, prefix: list[str]) -> Column:
+    """array of struct<block, word, words>: the words around each prefix word, as far as a notice that holds it can reach, where a line breaks there.
+
+    A line break counts as a word here, and a notice has fewer breaks between words than words.
+    """
+    reach = 2 * max(len(text.split()) for _, text in TEMPLATES)
+    marked = F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), _NOT_WORD.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F"), " "), r" *\n[ \n]*", " \n ")
+
+    def around(w: Column) -> Column:
+        hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(prefix), i)), lambda i: i.isNotNull())
+        window = lambda i: F.slice(w, F.greatest(F.lit(1), i + 1 - reach), F.least(i, F.lit(reach)) + reach + 1)
+        return F.filter(F.transform(hits, lambda i: F.struct(i.alias("block"), F.get(w, i).alias("word"), window(i).alias("words"))), lambda x: F.array_contains(x["words"], "\n"))
+
+    def where_held(m: Column) -> Column:
+        """Words are taken one by one only in texts that hold a prefix word."""
+        held = F.lit(False)
+        for p in prefix:
+            held = held | F.contains(m, F.lit(f" {p} "))
+        return F.when(held, _once(F.split(m, " "), around))
+
+    return _once(marked, where_held)
+
+
+def blocks(docs: DataFrame, counts: dict[str, int], wrapped: bool = False) -> DataFrame:
+    """doc_id, block (line number from 0), label, share: every line that meets a template's containment threshold.
+
+    wrapped: instead of lines, the windows of words that hold a line break; block is the place of a word in it.
+    """
     rank = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
     entries, verify = [], []
     for number, label, words in templates():
@@ -142,6 +168,10 @@ def blocks(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
         return out
 
     low = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
+    if wrapped:
+        some = docs.select("doc_id", low.alias("low")).where(seen(F.col("low")) & F.contains("low", F.lit("\n")))
+        found = some.select("doc_id", F.explode(_windows(F.col("low"), prefix)).alias("x")).select("doc_id", "x.block", "x.word", F.array_distinct(F.array_remove(F.array_remove("x.words", "\n"), "")).alias("words"))
+        return _verified(found, index, table)
     numbered = F.transform(F.split(low, "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("low")))
     lines = (
         docs.select("doc_id", F.explode(F.filter(numbered, lambda x: seen(x["low"]))).alias("x"))
@@ -149,9 +179,13 @@ def blocks(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
         .where(F.size("words") >= least)
         .withColumn("word", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in prefix]))))
     )
+    return _verified(lines, index, table)
+
+
+def _verified(rows: DataFrame, index: DataFrame, table: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("template", "words"))
     return (
-        lines.join(F.broadcast(index), "word")
+        rows.join(F.broadcast(index), "word")
         .join(F.broadcast(table), "number")
         .where((F.size("words") >= F.col("need")) & (shared >= F.col("need")))
         .select("doc_id", "block", "label", (shared / F.size("template")).alias("share"))
@@ -162,13 +196,14 @@ def blocks(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: base phrase counts and positions, labels of both kinds, and a score.
 
-    The score is 1 with a base phrase, else the largest share of a template in a line, else 0.
+    The score is 1 with a base phrase, else the largest share of a template in a line or across lines, else 0.
     A null text is empty: no words, null positions, empty labels, score 0. Repeated rows
     are each returned; rows of one doc_id (a null one included) share their template
     labels; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    found = blocks(docs, frequencies(docs)).groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("more"), F.max("share").alias("share"))
+    counts = frequencies(docs)
+    found = blocks(docs, counts).union(blocks(docs, counts, wrapped=True)).groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("more"), F.max("share").alias("share"))
     own = base(docs).drop("text")
     hits, more = F.coalesce(F.col("hits"), F.array().cast("array<struct<start: bigint, label: string>>")), F.coalesce(F.col("more"), F.array().cast("array<string>"))
     base_labels = F.array_distinct(F.transform(hits, lambda h: h["label"]))

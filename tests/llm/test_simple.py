@@ -254,3 +254,23 @@ def test_license_blocks_equal_brute_force(spark):
                     want.add((i, k, label))
     got = {(r["doc_id"], r["block"], r["label"]) for r in license_scan.blocks(df, license_scan.frequencies(df)).collect()}
     assert got == want and len(want) > 30
+
+
+def test_wrapped_licenses(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for label, t in license_scan.TEMPLATES:
+        w = t.split()
+        for at in range(1, len(w)):
+            want[len(rows)] = label
+            rows.append((len(rows), f"Notes on it\n{' '.join(w[:at])}\n * {' '.join(w[at:])}, as before\nThe end"))
+        want[len(rows)] = label
+        rows.append((len(rows), "far " * 50 + "\r\n *\r\n".join(w) + " away" * 50))
+    for _ in range(20):
+        rows.append((len(rows), "\n".join(" ".join(rng.choice("the lines of a plain text under no terms at all".split()) for _ in range(9)) for _ in range(5))))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, _ in rows:
+        if d in want:
+            assert want[d] in got[d]["labels"].split(",") and got[d]["score"] == 1.0, rows[d]
+        else:
+            assert got[d]["labels"] == "" and got[d]["score"] == 0.0
