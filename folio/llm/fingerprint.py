@@ -20,25 +20,28 @@ from pyspark.sql import functions as F
 
 from folio.llm.text import shingles, word_hashes
 
-#: One of so many shingle hashes is retained.
-SCALE = 8
+#: One of so many shingle hashes is retained, of short and long texts alike.
+SCALE = 2
 _KEEP = np.uint64((1 << 64) // SCALE)
+#: Bytes of a retained value: the upper bits below the threshold.
+WIDTH = 5
+_SHIFT = np.uint64(64 - (SCALE - 1).bit_length() - 8 * WIDTH)
 
 
 def retained(wh: np.ndarray) -> np.ndarray:
-    """Sorted 48-bit values of the distinct shingle hashes below the threshold."""
+    """Sorted 40-bit values of the distinct shingle hashes below the threshold."""
     h = shingles(wh)
-    return np.unique(h[h < _KEEP] >> np.uint64(13))
+    return np.unique(h[h < _KEEP] >> _SHIFT)
 
 
 def pack(sketch: np.ndarray) -> str:
-    """Sorted values as base64 of six big-endian bytes each; empty for none."""
-    return base64.b64encode(sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
+    """Sorted values as base64 of WIDTH big-endian bytes each; empty for none."""
+    return base64.b64encode(sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()).decode()
 
 
 def unpack(fingerprint: str) -> np.ndarray:
-    raw = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, 6)
-    return np.pad(raw, ((0, 0), (2, 0))).copy().view(">u8").ravel().astype(np.uint64)
+    raw = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, WIDTH)
+    return np.pad(raw, ((0, 0), (8 - WIDTH, 0))).copy().view(">u8").ravel().astype(np.uint64)
 
 
 def merge(*sketches: np.ndarray) -> np.ndarray:
@@ -47,19 +50,27 @@ def merge(*sketches: np.ndarray) -> np.ndarray:
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller shingle set that the other holds: 1 if both are empty, 0 if one is."""
+    """Estimated share of the smaller shingle set that the other holds: 0 if either sketch is empty, as it says nothing then."""
     if not len(a) or not len(b):
-        return float(len(a) == len(b))
+        return 0.0
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
+def likeness(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    """Containment of two texts by their sketches a and b; where both are empty, 1 if the texts' word hashes x and y make equal shingle sets, else 0."""
+    if not len(a) and not len(b):
+        return float(np.array_equal(np.unique(shingles(x)), np.unique(shingles(y))))
+    return containment(a, b)
+
+
 def neighbours(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per document: its sketch, its edited text's, and the likeness to that and to the next document.
 
     Next is by ascending doc_id, after the last the first; a null doc_id comes before all
     others; rows of one doc_id follow by text, a null text being empty. A lone document is
-    its own next. A text with no retained hash has an empty fingerprint; likeness is then 1
-    if both are empty, else 0. Empty tables give no rows; other columns are ignored.
+    its own next. A text with no retained hash has an empty fingerprint; of two such texts
+    the likeness is 1 if their shingle sets are equal (as those of two texts without words
+    are), else 0. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -85,26 +96,28 @@ def neighbours(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev = None  # (doc_id, text, sketch, pid) that still lacks its next
+        prev = None  # (doc_id, text, word hashes, sketch, pid) that still lacks its next
 
-        def pair(a, text: str, sketch: np.ndarray) -> tuple:
-            doc, own, mine, _ = a
+        def pair(a, text: str, words: np.ndarray, sketch: np.ndarray) -> tuple:
+            doc, own, x, mine, _ = a
             half = len(own) // 2
             edited = (own[: len(own) - half] + text[:half]).encode()
-            es = retained(word_hashes(edited)[0])
-            return doc, len(own), hashlib.sha256(edited).hexdigest(), pack(mine), pack(es), containment(mine, es), containment(mine, sketch)
+            y = word_hashes(edited)[0]
+            es = retained(y)
+            return doc, len(own), hashlib.sha256(edited).hexdigest(), pack(mine), pack(es), likeness(x, y, mine, es), likeness(x, words, mine, sketch)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(i, 1000), []
+            for i in range(0, batch.num_rows, 500):
+                part, out = batch.slice(i, 500), []
                 for doc, text, pid, tail in zip(*(c.to_pylist() for c in part.columns)):
                     if prev is None and tail:
                         continue
-                    sketch = retained(word_hashes(text.encode())[0])
+                    words = word_hashes(text.encode())[0]
+                    sketch = retained(words)
                     if prev is not None:
-                        assert prev[3] == pid, "a range without the first row of the next"
-                        out.append(pair(prev, text, sketch))
-                    prev = None if tail else (doc, text, sketch, pid)
+                        assert prev[4] == pid, "a range without the first row of the next"
+                        out.append(pair(prev, text, words, sketch))
+                    prev = None if tail else (doc, text, words, sketch, pid)
                 cols = list(zip(*out)) or [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in schema.split(", ")])
         assert prev is None, "a range without the first row of the next"
