@@ -1,15 +1,17 @@
 """Licence scans over whole texts, in DataFrame functions alone.
 
 Base phrases are counted where their words stand consecutively. On top of that, every
-text block (a line, or a window of words across line breaks) is joined with licence templates by exact containment: a template's
-distinct words are put in order of corpus frequency, rarest first; a block that holds a
-share T of them must hold one of its first |template| - ceil(T * |template|) + 1 words
-(prefix filter), have that many words at all (length filter), and leave enough of the
-template after the first shared word (positional filter). What passes is verified.
-
-The templates are a short fixed list, so their words travel as literals and as a
-broadcast table of a few hundred rows; the corpus is never shuffled but for counts and
-the few blocks that match.
+text block is joined with licence templates by exact containment. A block is a run of
+WIDTH words that begins at a multiple of STEP, so a notice of up to WIDTH - STEP words
+lies in one block as a whole, wherever its lines break. A template's distinct words are
+put in order of corpus frequency, rarest first; a block that holds a share T of them must
+hold one of its first |template| - ceil(T * |template|) + 1 words (prefix filter), have
+that many template words at all (length filter), and the words before and after the
+shared one, in that order on both sides, must leave enough (positional filter). What
+passes is verified.
+
+The templates are a short fixed list, so they travel as literals and inline tables of
+some dozen rows; the corpus is never shuffled but for counts and the few blocks that match.
 """
 
 from __future__ import annotations
@@ -25,14 +27,22 @@ CONTAINMENT = 0.9
 #: Phrase, in words, and its label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Own wording of usual notices; label and text.
+#: Words of a block, and between the beginnings of two; no template may have more than WIDTH - STEP words.
+WIDTH, STEP = 128, 64
+
+#: Usual notices; label and text.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2.0", "free software under the terms of the gnu general public license version 2"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "licensed under the gnu lesser general public license"),
     ("agpl", "licensed under the gnu affero general public license"),
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0"),
@@ -41,6 +51,7 @@ TEMPLATES = (
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"),
 )
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,78 +128,50 @@ def frequencies(docs: DataFrame) -> dict[str, int]:
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in rows}
 
 
-def _windows(low: Column, prefix: list[str]) -> Column:
-    """array of struct<block, word, words>: the words around each prefix word, as far as a notice that holds it can reach, where a line breaks there.
-
-    A line break counts as a word here, and a notice has fewer breaks between words than words.
-    """
-    reach = 2 * max(len(text.split()) for _, text in TEMPLATES)
-    marked = F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), _NOT_WORD.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F"), " "), r" *\n[ \n]*", " \n ")
+def _inline(docs: DataFrame, columns: str, rows: list[tuple[str, ...]]) -> DataFrame:
+    """A table of SQL literals, which Catalyst holds as it is."""
+    values = ", ".join(f"({', '.join(r)})" for r in rows)
+    return docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 
-    def around(w: Column) -> Column:
-        hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(prefix), i)), lambda i: i.isNotNull())
-        window = lambda i: F.slice(w, F.greatest(F.lit(1), i + 1 - reach), F.least(i, F.lit(reach)) + reach + 1)
-        return F.filter(F.transform(hits, lambda i: F.struct(i.alias("block"), F.get(w, i).alias("word"), window(i).alias("words"))), lambda x: F.array_contains(x["words"], "\n"))
 
-    def where_held(m: Column) -> Column:
+def blocks(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """doc_id, block (from 0), label, share: every block of a text that meets a template's containment threshold."""
+    order = sorted(counts, key=lambda w: (counts[w], w))
+    rank = {w: i for i, w in enumerate(order, 1)}
+    index, table = [], []
+    for number, label, words in templates():
+        ranks = sorted(rank[w] for w in words)
+        need = needed(len(ranks))
+        index += [(f"'{order[r - 1]}'", f"{r}L", str(number), str(at)) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
+        table.append((str(number), f"'{label}'", f"array({', '.join(f'{r}L' for r in ranks)})", str(need)))
+    prefix = sorted({w.strip("'") for w, *_ in index})
+    wanted = F.array(*[F.lit(w) for w in prefix])
+    vocabulary = F.array(*[F.lit(w) for w in order])
+
+    def cut(words: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.greatest(F.size(words) - STEP - 1, F.lit(0)), F.lit(STEP))
+        each = F.transform(begins, lambda i: F.struct((i / STEP).cast("int").alias("block"), F.array_distinct(F.slice(words, i + 1, WIDTH)).alias("words")))
+        return F.filter(each, lambda b: F.arrays_overlap(b["words"], wanted))
+
+    def where_held(s: Column) -> Column:
         """Words are taken one by one only in texts that hold a prefix word."""
         held = F.lit(False)
         for p in prefix:
-            held = held | F.contains(m, F.lit(f" {p} "))
-        return F.when(held, _once(F.split(m, " "), around))
-
-    return _once(marked, where_held)
-
-
-def blocks(docs: DataFrame, counts: dict[str, int], wrapped: bool = False) -> DataFrame:
-    """doc_id, block (line number from 0), label, share: every line that meets a template's containment threshold.
-
-    wrapped: instead of lines, the windows of words that hold a line break; block is the place of a word in it.
-    """
-    rank = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
-    entries, verify = [], []
-    for number, label, words in templates():
-        ordered = sorted(words, key=rank.__getitem__)
-        need = needed(len(ordered))
-        for at, w in enumerate(ordered[: len(ordered) - need + 1]):
-            # Positional filter: this word and those after it must be enough.
-            if len(ordered) - at >= need:
-                entries.append((w, number))
-        verify.append((number, label, ordered, need))
-    prefix = sorted({w for w, _ in entries})
-    spark = docs.sparkSession
-    index = spark.createDataFrame(entries, "word string, number int")
-    table = spark.createDataFrame(verify, "number int, label string, template array<string>, need int")
-    least = min(need for *_, need in verify)
-
-    def seen(line: Column) -> Column:
-        out = F.lit(False)
-        for w in prefix:
-            out = out | F.contains(line, F.lit(w))
-        return out
-
-    low = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
-    if wrapped:
-        some = docs.select("doc_id", low.alias("low")).where(seen(F.col("low")) & F.contains("low", F.lit("\n")))
-        found = some.select("doc_id", F.explode(_windows(F.col("low"), prefix)).alias("x")).select("doc_id", "x.block", "x.word", F.array_distinct(F.array_remove(F.array_remove("x.words", "\n"), "")).alias("words"))
-        return _verified(found, index, table)
-    numbered = F.transform(F.split(low, "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("low")))
-    lines = (
-        docs.select("doc_id", F.explode(F.filter(numbered, lambda x: seen(x["low"]))).alias("x"))
-        .select("doc_id", "x.block", F.array_distinct(_once(spaced(F.col("x.low")), _words)).alias("words"))
-        .where(F.size("words") >= least)
-        .withColumn("word", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in prefix]))))
-    )
-    return _verified(lines, index, table)
-
-
-def _verified(rows: DataFrame, index: DataFrame, table: DataFrame) -> DataFrame:
-    shared = F.size(F.array_intersect("template", "words"))
+            held = held | F.contains(s, F.lit(f" {p} "))
+        return F.when(held, _once(_words(s), cut))
+
+    # An outer explode: an inner one would have the blocks made twice, once to see if there are any.
+    rows = docs.select("doc_id", F.explode_outer(_once(spaced(F.col("text")), where_held)).alias("x")).where(F.col("x").isNotNull())
+    ranks = F.array_sort(F.filter(F.transform("x.words", lambda w: F.array_position(vocabulary, w)), lambda r: r > 0))
+    held = rows.select("doc_id", "x.block", F.explode(F.array_intersect("x.words", wanted)).alias("word"), ranks.alias("ranks"))
+    n, m, at = F.size("template"), F.size("ranks"), F.array_position("ranks", F.col("rank")).cast("int") - 1
+    shared = F.size(F.array_intersect("template", "ranks"))
     return (
-        rows.join(F.broadcast(index), "word")
-        .join(F.broadcast(table), "number")
-        .where((F.size("words") >= F.col("need")) & (shared >= F.col("need")))
-        .select("doc_id", "block", "label", (shared / F.size("template")).alias("share"))
+        held.join(F.broadcast(_inline(docs, "word, rank, number, place", index)), "word")
+        .join(F.broadcast(_inline(docs, "number, label, template, need", table)), "number")
+        .where((m >= F.col("need")) & (F.least("place", at) + 1 + F.least(n - F.col("place") - 1, m - at - 1) >= F.col("need")))
+        .where(shared >= F.col("need"))
+        .select("doc_id", "block", "label", (shared / n).alias("share"))
         .distinct()
     )
 
@@ -196,14 +179,14 @@ def _verified(rows: DataFrame, index: DataFrame, table: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: base phrase counts and positions, labels of both kinds, and a score.
 
-    The score is 1 with a base phrase, else the largest share of a template in a line or across lines, else 0.
+    The score is 1 with a base phrase, else the largest share of a template in a block, else 0.
     A null text is empty: no words, null positions, empty labels, score 0. Repeated rows
     are each returned; rows of one doc_id (a null one included) share their template
     labels; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     counts = frequencies(docs)
-    found = blocks(docs, counts).union(blocks(docs, counts, wrapped=True)).groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("more"), F.max("share").alias("share"))
+    found = blocks(docs, counts).groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("more"), F.max("share").alias("share"))
     own = base(docs).drop("text")
     hits, more = F.coalesce(F.col("hits"), F.array().cast("array<struct<start: bigint, label: string>>")), F.coalesce(F.col("more"), F.array().cast("array<string>"))
     base_labels = F.array_distinct(F.transform(hits, lambda h: h["label"]))
