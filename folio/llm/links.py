@@ -1,6 +1,7 @@
 """Candidate pairs, exact Jaccard checks and connected components, all distributed.
 
-Ids are longs. Nothing here is collected to the driver but counts; hot ids are salted.
+Ids are longs. The driver gets counts and slot maps, which have a fixed size. Keys that
+hold a large share of the rows of a join are dealt over several parts.
 """
 
 from __future__ import annotations
@@ -13,27 +14,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.scratch import Scratch
+from folio.llm.text import mix, slices
 
 #: Near duplicates share at least this share of their shingles: 100 * shared >= 75 * union.
 SHARE = 75
-#: A table of ids is broadcast only if it has been counted and has no more rows than this.
-BROADCAST_ROWS = 500_000
 #: Parts that the pairs of one id are dealt over.
 SALTS = 32
 #: Members of a bucket that are compared in one piece; larger buckets are cut into blocks, and each pair of blocks is a piece.
 BLOCK = 2048
 
 
-def only(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key is in ids (distinct, saved): by broadcast if ids is counted as small, else by a shuffled join."""
-    small = ids.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
+#: A key of more than one row in HOT is hot: there are fewer than HOT such keys in any table.
+HOT = 2000
+#: Slots of a map of keys, by hash: 2 MB as bits, whatever the number of keys.
+SLOT_BITS = 24
+_U = np.uint64
 
 
-def joined(df: DataFrame, lists: DataFrame, items: int, how: str = "inner") -> DataFrame:
-    """df with the row of lists (doc_id and arrays of `items` values in all, saved): by broadcast if that is small, else shuffled."""
-    small = items <= BROADCAST_ROWS * 4 and lists.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(lists) if small else lists.hint("merge"), "doc_id", how)
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, saved, which has one row for each key and in column n how many rows of left hold it.
+
+    Rows of a hot key are dealt over SALTS parts, each of which gets a copy of the key's
+    one row; n is dropped. The keys that are hot, fewer than HOT, are broadcast.
+    """
+    least = (right.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = right.where(F.col("n") > least).select(*on, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c, t in left.dtypes if c not in on and t != "binary"]), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(copies)).drop("n").hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def mixed(*keys: np.ndarray) -> np.ndarray:
+    """One hash of several integer columns."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        h = mix(h * _U(0x9E3779B97F4A7C15) + np.asarray(k).astype(np.int64).view(np.uint64) + _U(1))
+    return h
+
+
+class Slots:
+    """A map of keys by hash, as bits: a key that was put in is found, another is with the share of slots that are in use.
+
+    So it may only choose what is worth a look. It has the same size for any number of
+    keys; with very many, all slots are in use and everything is looked at.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.drop = words, _U(65 - (64 * len(words)).bit_length())
+
+    def has(self, *keys: np.ndarray) -> np.ndarray:
+        at = mixed(*keys) >> self.drop
+        return self.words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1) > 0
+
+
+def slots(keys: DataFrame) -> Slots:
+    """The map of the rows of integer columns. Each task and the driver hold one map."""
+    bits = SLOT_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            if batch.num_rows:
+                seen[(mixed(*(c.to_numpy() for c in batch.columns)) >> _U(64 - bits)).astype(np.int64)] = True
+        words = np.packbits(seen, bitorder="little").view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(words[some])], names=["word", "bits"])
+
+    found = keys.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << bits - 6, np.int64)
+    words[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return Slots(words.view(np.uint64))
+
+
+def found_in(keys: DataFrame, known: Slots) -> DataFrame:
+    """The rows of integer columns that are, or seem to be, in the map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.has(*(c.to_numpy() for c in batch.columns)))) if batch.num_rows else batch
+
+    return keys.mapInArrow(run, keys.schema)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores after it while it is a column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def edited(cols: list, names: list[str], texts: list[str | None], sizes: list[int | None]) -> list:
+    """The columns of a batch with new texts, and n_chars, if there is one, where a size is given."""
+    cols[names.index("text")] = pa.array(texts, pa.string())
+    if "n_chars" in names:
+        k = names.index("n_chars")
+        cols[k] = pa.array([n if s is None else s for s, n in zip(sizes, cols[k].to_pylist())], cols[k].type)
+    return cols
+
+
+def parted(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose key may be in ids, rows whose key is not), so that only the former need be joined with what ids tells of them."""
+    known, at = slots(ids.select(key)), docs.columns.index(key)
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                col = batch.column(at)
+                found = known.has(col.fill_null(0).to_numpy()) & ~col.is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return side(True), side(False)
 
 
 def similar(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
@@ -44,23 +138,22 @@ def similar(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
     return 100 * both >= share * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: int = SHARE, kind: str = "long") -> DataFrame:
-    """The (a, b) pairs whose sets pass; sets: (id, items), items the sorted distinct hashes as bytes; kind: the ids' type.
-
-    The pairs of one id are dealt over SALTS parts, each of which gets a copy of its set.
-    """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("right"))
-    rows = salted.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "left", "right")
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, share: int = SHARE) -> DataFrame:
+    """The saved (a, b) pairs of longs whose sets pass; sets: (id, items), items the sorted distinct hashes as bytes."""
+    uses = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    used = scratch.save(sets.join(uses, "id"), "used")
+    a, b = (used.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}"), "n") for x in "ab")
+    rows = hot_join(hot_join(pairs.select("a", "b"), a, ["a"]), b, ["b"]).select("a", "b", "items_a", "items_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), share) for p, q in zip(x, y)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    out = scratch.save(rows.mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(used)
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -104,12 +197,7 @@ def block_links(entries: DataFrame, likely: Callable[[np.ndarray, np.ndarray], n
     share, by sketch and then by set; only links become rows. Groups that a link joins
     are one for the rest of the piece.
     """
-    rows = (
-        entries.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nth", "id", "grp", "sketch", "bands", "items")
-    )
+    rows = blocked(entries).select("bucket", "i", "j", "own", "nth", "id", "grp", "sketch", "bands", "items")
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +228,36 @@ def block_links(entries: DataFrame, likely: Callable[[np.ndarray, np.ndarray], n
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _blocks(entries: DataFrame) -> DataFrame:
-    """entries (bucket, n, id, ...) with i, j, own: a bucket of more than BLOCK rows is cut into blocks by hash, and each pair of blocks is a piece."""
-    cut = entries.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def blocked(entries: DataFrame, block: int | None = None) -> DataFrame:
+    """entries (bucket, n, id, ...) with i, j, own: a bucket of more than `block` rows is cut into blocks by hash, and each pair of blocks is a piece."""
+    block = block or BLOCK
+    cut = entries.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
 
+def chunks(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns as NumPy arrays of about `rows` rows at once, of batches sorted by the first `keys` columns; rows that agree in those stay together."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.slice(at, rows).columns])
+            size += len(held[-1][0])
+            if size < rows:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held)]
+            change = np.zeros(size - 1, bool)
+            for c in cols[:keys]:
+                change |= c[1:] != c[:-1]
+            cut = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
+            if cut:
+                yield [c[:cut] for c in cols]
+            held, size = [[c[cut:] for c in cols]], size - cut
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def near_pairs(sets: list[np.ndarray], grp: np.ndarray, side: np.ndarray, share: int = SHARE) -> list[tuple[int, int]]:
     """Pairs of sets that link different groups; of two that are linked by others already, none. Only sets of differing sides, or of side 0, are compared.
 
@@ -186,7 +297,7 @@ def prefix_links(entries: DataFrame, share: int = SHARE) -> DataFrame:
 
     entries: (bucket, n, id, grp, items): n the bucket's rows. Only links become rows.
     """
-    dealt = _blocks(entries).select("bucket", "i", "j", "own", "id", "grp", "items").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "id")
+    dealt = blocked(entries).select("bucket", "i", "j", "own", "id", "grp", "items").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, i, j, own, ids, grp, items in runs(batches, 3):
@@ -203,19 +314,25 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): for every id in links (a, b) the smallest id that it reaches.
 
     Each round takes the smallest label among neighbours and then that label's own label,
-    so a chain shortens by doubling; rounds end when no label changes.
+    so a chain shortens by doubling; rounds end when no label changes. The links of a hub
+    are dealt over parts; members of a component are told its label's label likewise.
     """
     edges = scratch.save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.save(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    labels = scratch.save(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component"), F.count("*").alias("n")), "labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = scratch.save(step.join(up, "component", "left").select("id", F.least("component", "up").alias("component"), "old"), "labels")
+        near = hot_join(edges, labels.withColumnRenamed("id", "b"), ["b"]).groupBy("a").agg(F.min("component").alias("near"))
+        step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"), "n")
+        step = scratch.save(step, "step")
+        heads = step.groupBy("component").agg(F.count("*").alias("n")).join(labels.select(F.col("id").alias("component"), F.col("component").alias("up")), "component")
+        heads = scratch.save(heads.where("up < component"), "heads")
+        told = hot_join(step.select("id", "old", F.col("n").alias("links"), "component"), heads, ["component"], "left")
+        new = scratch.save(told.select("id", F.least("component", "up").alias("component"), F.col("links").alias("n"), "old"), "labels")
         changed = new.where(F.col("component") != F.col("old")).limit(1).count()
-        scratch.drop(labels)
-        path, labels = new._folio_path, new.select("id", "component")
+        scratch.drop(labels, step, heads)
+        path, labels = new._folio_path, new.select("id", "component", "n")
         labels._folio_path = path
         if not changed:
             scratch.drop(edges)
-            return labels
+            out = labels.select("id", "component")
+            out._folio_path = path
+            return out

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import links
 from folio.llm.scratch import Scratch
-from folio.llm.text import binary_column, hashed, mix, set_key, shingles
+from folio.llm.text import binary_column, hashed, mix, set_key, shingles, slices
 
 SAMPLES, BANDS, BITS = 128, 32, 512
 ROWS = SAMPLES // BANDS
@@ -89,37 +89,34 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                sets = [np.unique(shingles(h)) for h in hashed(binary_column(part, "text"))]
-                full = [k for k, s in enumerate(sets) if len(s)]
-                keys: list = [(None, None)] * len(sets)
-                band: list = [None] * len(sets)
-                sketch: list = [None] * len(sets)
-                if full:
-                    minima = minhash([sets[k] for k in full])
-                    for k, b, o in zip(full, bands(minima), odd_sketch(minima)):
-                        keys[k], band[k], sketch[k] = set_key(sets[k]), b, o.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[x] for k in keys], pa.int64()) for x in (0, 1)), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
-                )
+        for part in slices(batches):
+            sets = [np.unique(shingles(h)) for h in hashed(binary_column(part, "text"))]
+            full = [k for k, s in enumerate(sets) if len(s)]
+            keys: list = [(None, None)] * len(sets)
+            band: list = [None] * len(sets)
+            sketch: list = [None] * len(sets)
+            if full:
+                minima = minhash([sets[k] for k in full])
+                for k, b, o in zip(full, bands(minima), odd_sketch(minima)):
+                    keys[k], band[k], sketch[k] = set_key(sets[k]), b, o.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[x] for k in keys], pa.int64()) for x in (0, 1)), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, items) of each document."""
+def shingle_sets(docs: DataFrame, wanted: links.Slots) -> DataFrame:
+    """(id, items) of each document that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                sets = [np.unique(shingles(h)).tobytes() for h in hashed(binary_column(part, "text"))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
+        for part in slices(batches):
+            part = part.filter(pa.array(wanted.has(part.column(0).to_numpy())))
+            sets = [np.unique(shingles(h)).tobytes() for h in hashed(binary_column(part, "text"))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, items binary")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "id long, items binary")
 
 
 def near_links(docs: DataFrame, sig: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -129,7 +126,7 @@ def near_links(docs: DataFrame, sig: DataFrame, classes: DataFrame, scratch: Scr
     met = scratch.save(entries.select("id", "nth", "bucket").join(shared, "bucket"), "met")
     mates = met.groupBy("id").agg(F.sum("n").alias("mates"))
     centre = met.join(mates, "id").groupBy("bucket").agg(F.max_by("id", F.struct("mates", -F.col("id"))).alias("centre"))
-    star = met.join(centre, "bucket").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    star = scratch.save(met.join(centre, "bucket").where("id <> centre").select("id", "centre").distinct(), "star")
     sketches = scratch.save(only_sketches(classes, met), "sketches")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +135,14 @@ def near_links(docs: DataFrame, sig: DataFrame, classes: DataFrame, scratch: Scr
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in batch.columns[2:])
                 yield batch.select([0, 1]).filter(pa.array(likely(x, y)))
 
-    a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    star = scratch.save(star.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long"), "star")
-    ids = scratch.save(met.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    sets = scratch.save(shingle_sets(links.only(docs.select("doc_id", "text"), ids)).groupBy("id").agg(F.min("items").alias("items")), "sets")
-    found = scratch.save(links.verified(star, sets), "links")
+    uses = star.groupBy("centre").agg(F.count("*").alias("n"))
+    centres = scratch.save(sketches.select(F.col("id").alias("centre"), F.col("sketch").alias("theirs")).join(uses, "centre"), "centres")
+    both = links.hot_join(star.join(sketches.select("id", "sketch"), "id"), centres, ["centre"])
+    tried = both.select("id", "centre", "sketch", "theirs").mapInArrow(near, "id long, centre long")
+    tried = scratch.save(tried.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "tried")
+    wanted = links.slots(met.select("id").distinct())
+    sets = scratch.save(shingle_sets(docs, wanted).groupBy("id").agg(F.min("items").alias("items")), "sets")
+    found = links.verified(tried, sets, scratch)
     group = links.components(found, scratch)
     open_ = met.join(group, "id", "left").withColumn("grp", F.coalesce("component", "id")).select("bucket", "nth", "id", "grp", "n")
     mixed = open_.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("bucket")
@@ -166,15 +166,19 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sig = scratch.save(signatures(docs), "signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("rep")), "classes")
+    classes = scratch.save(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("rep"), F.count("*").alias("n")), "classes")
     label = near_links(docs, sig, classes, scratch)
-    of_class = classes.select("k1", "k2", F.col("rep.doc_id").alias("id")).join(label, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    own = sig.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    of_class = classes.select("k1", "k2", "n", F.col("rep.doc_id").alias("id")).join(label, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
+    own = links.hot_join(sig.select("doc_id", "n_shingles", "k1", "k2"), scratch.save(of_class, "of_class"), ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return own.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents of which one of each group stays (that of the smallest doc_id), with all their columns."""
+    """The documents of which one of each group stays (that of the smallest doc_id), with all their columns.
+
+    Rows that repeat a doc_id stay or go together; a null doc_id stays. Only rows that may
+    go are shuffled.
+    """
     gone = scratch.save(groups(docs, scratch).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    small = gone.count() <= links.BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    touched, rest = links.parted(docs, gone)
+    return touched.join(gone.hint("merge"), "doc_id", "left_anti").union(rest)

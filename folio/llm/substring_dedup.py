@@ -17,9 +17,13 @@ on either side. A passage that two texts share is cut alike in both, but for its
    components of a bucket is missed.
 3. In each component the earliest paragraph stays. Runs of later ones in a document,
    against one and the same earlier document, are stretched word by word as far as both
-   texts agree. Runs of LEAST words or more are removed.
+   texts agree. Stretched runs that overlap or touch make one passage, whatever earlier
+   documents hold them; passages of LEAST words or more are removed.
 
-A component that stays within one document is left alone.
+A component that stays within one document is left alone. Texts are never moved: which
+documents and paragraphs a pass has to look at is told by slot maps of fixed size (links).
+Classes are keyed by a 64-bit sum; two that collide can only join paragraphs, and a
+passage must be LEAST words long besides.
 """
 
 from __future__ import annotations
@@ -28,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import links
 from folio.llm.scratch import Scratch
-from folio.llm.text import SHINGLE, binary_column, hashed, mix, set_key, shingles
+from folio.llm.text import SHINGLE, binary_column, hashed, mix, set_key, shingles, slices
 
 #: Words on either side within which a cut is the least; paragraphs have REACH + 1 words at least and twice that on average.
 REACH = 6
@@ -68,57 +73,86 @@ def _spans(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first, last
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, no, word, words, h (hash of the shingle set), m (minima) of each paragraph."""
+def text_tag(raw: bytes) -> int:
+    """63 bits of a text, which tell rows apart that repeat a doc_id with differing texts."""
+    return xxhash.xxh64_intdigest(raw) >> 1
+
+
+_DOC = "struct<doc_id: long, tag: long>"
+
+
+def _docs(ids: pa.Array, tags: list[int]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([ids, pa.array(tags, pa.int64())], names=["doc_id", "tag"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.Array, list[bytes], list[int]]]:
+    """(doc_ids, texts, tags) of some rows of (doc_id, text) at a time."""
+    for part in slices(batches, rows):
+        texts = binary_column(part, "text")
+        yield part.column(0), texts, [text_tag(t) for t in texts]
+
+
+def _chosen(ids: pa.Array, texts: list[bytes], tags: list[int], keep: np.ndarray) -> tuple[pa.Array, list[bytes], list[int]]:
+    at = np.flatnonzero(keep).tolist()
+    return ids.take(pa.array(at, pa.int64())), [texts[k] for k in at], [tags[k] for k in at]
+
+
+def paragraphs(docs: DataFrame, copies: links.Slots | None = None, first: links.Slots | None = None) -> DataFrame:
+    """doc, no, word, words, h (hash of the shingle set), m (minima) of each paragraph of the documents but known copies."""
+    names = ["doc", "no", "word", "words", "h", *(f"m{b}" for b in range(BANDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                cols: list[list] = [[] for _ in range(5 + BANDS)]
-                for doc, wh in zip(part.column(0).to_pylist(), hashed(binary_column(part, "text"))):
-                    if not len(wh):
-                        continue
-                    s, starts = shingles(wh), cuts(wh)
-                    first, last = _spans(starts, len(wh))
-                    idx = np.stack([first, last], 1).ravel()
-                    ends = idx[-1] == len(s)
-                    idx = idx[:-1] if ends else idx
-                    cols[0].append(np.full(len(starts), doc, np.int64))
-                    cols[1].append(np.arange(len(starts), dtype=np.int32))
-                    cols[2].append(starts.astype(np.int32))
-                    cols[3].append((np.concatenate([starts[1:], [len(wh)]]) - starts).astype(np.int32))
-                    cols[4].append(mix(np.add.reduceat(s, idx)[::2]).view(np.int64))
-                    for b in range(BANDS):
-                        cols[5 + b].append(mix(np.minimum.reduceat(s * _A[b], idx)[::2] + _U(b)).view(np.int64))
-                kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, *[np.int64] * BANDS]
-                arrays = [pa.array(np.concatenate(c)) if c else pa.array(np.zeros(0, t)) for c, t in zip(cols, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "no", "word", "words", "h", *(f"m{b}" for b in range(BANDS))])
-
-    schema = "doc_id long, no int, word int, words int, h long, " + ", ".join(f"m{b} long" for b in range(BANDS))
+        for ids, texts, tags in _parts(batches):
+            if copies is not None:
+                key = ids.to_numpy(), np.array(tags, np.int64)
+                ids, texts, tags = _chosen(ids, texts, tags, ~copies.has(*key) | first.has(*key))
+            cols: list[list] = [[] for _ in names]
+            for k, wh in enumerate(hashed(texts)):
+                if not len(wh):
+                    continue
+                s, starts = shingles(wh), cuts(wh)
+                first_, last = _spans(starts, len(wh))
+                idx = np.stack([first_, last], 1).ravel()
+                ends = idx[-1] == len(s)
+                idx = idx[:-1] if ends else idx
+                cols[0].append(np.full(len(starts), k, np.int64))
+                cols[1].append(np.arange(len(starts), dtype=np.int32))
+                cols[2].append(starts.astype(np.int32))
+                cols[3].append((np.concatenate([starts[1:], [len(wh)]]) - starts).astype(np.int32))
+                cols[4].append(mix(np.add.reduceat(s, idx)[::2]).view(np.int64))
+                for b in range(BANDS):
+                    cols[5 + b].append(mix(np.minimum.reduceat(s * _A[b], idx)[::2] + _U(b)).view(np.int64))
+            if cols[0]:
+                arrays = [pa.array(np.concatenate(c)) for c in cols]
+                arrays[0] = _docs(ids, tags).take(arrays[0])
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = f"doc {_DOC}, no int, word int, words int, h long, " + ", ".join(f"m{b} long" for b in range(BANDS))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """(id, items) of the paragraphs whose numbers are in the row's array `nos`."""
+def paragraph_sets(docs: DataFrame, wanted: links.Slots) -> DataFrame:
+    """(id, items) of the paragraphs that may be wanted, by document and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part, ids, items = batch.slice(i, 500), [], []
-                for wh, nos in zip(hashed(binary_column(part, "text")), part.column(1).to_pylist()):
-                    if not len(wh):
-                        continue
+        for docs_, texts, tags in _parts(batches):
+            ids, items = [], []
+            for doc, tag, wh in zip(docs_.to_pylist(), tags, hashed(texts)):
+                if not len(wh):
+                    continue
+                starts = cuts(wh)
+                n = len(starts)
+                found = np.flatnonzero(wanted.has(np.full(n, doc), np.full(n, tag), np.arange(n)))
+                if len(found):
                     s = shingles(wh)
-                    first, last = _spans(cuts(wh), len(wh))
-                    for k in nos:
-                        if k < len(first):
-                            x = s[first[k] : last[k]]
-                            ids.append(int(mix(x.sum(keepdims=True)).view(np.int64)[0]))
-                            items.append(np.unique(x).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["id", "items"])
+                    first, last = _spans(starts, len(wh))
+                    for k in found.tolist():
+                        x = s[first[k] : last[k]]
+                        ids.append(int(mix(x.sum(keepdims=True)).view(np.int64)[0]))
+                        items.append(np.unique(x).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["id", "items"])
 
-    return docs.select("text", "nos").mapInArrow(run, "id long, items binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, items binary")
 
 
 def _met(classes: DataFrame) -> DataFrame:
@@ -157,15 +191,16 @@ def _more_links(met: DataFrame, sets: DataFrame, group: DataFrame) -> DataFrame:
     return links.prefix_links(own.join(mixed, "bucket").join(sets, "id"))
 
 
-def word_rows(docs: DataFrame) -> DataFrame:
-    """(id, hashes): 32-bit hashes of each document's words, in order."""
+def word_rows(docs: DataFrame, wanted: links.Slots) -> DataFrame:
+    """(doc, hashes): 32-bit hashes of the words, in order, of each document that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(h >> _U(32)).astype("<u4").tobytes() for h in hashed(binary_column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "hashes"])
+        for ids, texts, tags in _parts(batches):
+            ids, texts, tags = _chosen(ids, texts, tags, wanted.has(ids.to_numpy(), np.array(tags, np.int64)))
+            rows = [(h >> _U(32)).astype("<u4").tobytes() for h in hashed(texts)]
+            yield pa.RecordBatch.from_arrays([_docs(ids, tags), pa.array(rows, pa.binary())], names=["doc", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc {_DOC}, hashes binary")
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> int:
@@ -176,129 +211,157 @@ def _agree(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, k1, k2 (128-bit key of the words in order) of each document with words."""
+    """doc, n_words, k1, k2 (128-bit key of the words in order) of each document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(doc, len(h), *set_key(h)) for doc, h in zip(batch.column(0).to_pylist(), hashed(binary_column(batch, "text"))) if len(h)]
+        for ids, texts, tags in _parts(batches):
+            rows = [(k, len(h), *set_key(h)) for k, h in enumerate(hashed(texts)) if len(h)]
             c = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, [pa.int64(), pa.int32(), pa.int64(), pa.int64()])], names=["doc_id", "n_words", "k1", "k2"])
+            at, *rest = (pa.array(v, t) for v, t in zip(c, [pa.int64(), pa.int32(), pa.int64(), pa.int64()]))
+            yield pa.RecordBatch.from_arrays([_docs(ids, tags).take(at), *rest], names=["doc", "n_words", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words int, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc {_DOC}, n_words int, k1 long, k2 long")
 
 
-def whole_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_words, kept_doc_id of the documents that an earlier one equals word for word."""
+def whole_copies(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, links.Slots, links.Slots]:
+    """(doc, n_words, kept) of the documents that one of a lesser doc_id equals word for word; a map of them, and one of the others that it seems to hold."""
     keys = scratch.save(digests(docs), "digests")
-    many = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return scratch.save(keys.join(many, ["k1", "k2"]).where("doc_id <> kept_doc_id").select("doc_id", "n_words", "kept_doc_id").distinct(), "copies")
+    groups = keys.groupBy("k1", "k2").agg(F.min("doc").alias("kept"), F.count("*").alias("n"), F.max("doc.doc_id").alias("last"))
+    many = scratch.save(groups.where("kept.doc_id < last").drop("last"), "many")
+    copies = links.hot_join(keys, many, ["k1", "k2"]).where("doc.doc_id <> kept.doc_id").select("doc", "n_words", "kept").distinct()
+    copies = scratch.save(copies, "copies")
+    known = links.slots(copies.select("doc.doc_id", "doc.tag"))
+    # Rows that are no copies but in the map: few, unless there are very many copies, and then only more work is done.
+    maybe = scratch.save(links.found_in(keys.select("doc.doc_id", "doc.tag"), known), "maybe")
+    others = maybe.join(copies.select("doc.*").hint("merge"), ["doc_id", "tag"], "left_anti")
+    return copies, known, links.slots(others)
 
 
 def _stretched(runs: DataFrame, words: DataFrame) -> DataFrame:
     """Runs with start and end moved out as far as the words agree with the kept text's."""
-    runs = runs.groupBy("doc_id", "kept_doc_id").agg(F.collect_list(F.struct("a", "b", "p", "q")).alias("runs"))  # at most a document's paragraphs
-    salted = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(links.SALTS)).cast("int"))
-    kept = salted.select("kept_doc_id", "salt").distinct().join(words.select(F.col("id").alias("kept_doc_id"), F.col("hashes").alias("theirs")), "kept_doc_id")
-    rows = salted.join(words.select(F.col("id").alias("doc_id"), F.col("hashes").alias("own")), "doc_id").join(kept, ["kept_doc_id", "salt"])
+    runs = runs.groupBy("doc", "kept").agg(F.collect_list(F.struct("a", "b", "p", "q")).alias("runs"))  # at most a document's paragraphs
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(links.SALTS)).cast("int"))
+    theirs = salted.select("kept", "salt").distinct().join(words.select(F.col("doc").alias("kept"), F.col("hashes").alias("theirs")), "kept")
+    rows = salted.join(words.select("doc", F.col("hashes").alias("own")), "doc").join(theirs, ["kept", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for doc, other, each, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, (each, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
                 x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
                 for r in each:
                     back = _agree(x[: r["a"]][::-1], y[: r["p"]][::-1])
                     on = _agree(x[r["b"] :], y[r["q"] :])
-                    out.append((doc, other, r["a"] - back, r["b"] + on, r["p"] - back))
-            c = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=["doc_id", "kept_doc_id", "start", "end", "kept_start"])
+                    out.append((k, r["a"] - back, r["b"] + on, r["p"] - back))
+            c = list(zip(*out)) or [[]] * 4
+            at, *rest = (pa.array(v, t) for v, t in zip(c, [pa.int64(), pa.int32(), pa.int32(), pa.int32()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *rest], names=["doc", "kept", "start", "end", "kept_start"])
 
-    return rows.select("doc_id", "kept_doc_id", "runs", "own", "theirs").mapInArrow(run, "doc_id long, kept_doc_id long, start int, end int, kept_start int")
+    return rows.select("doc", "kept", "runs", "own", "theirs").mapInArrow(run, f"doc {_DOC}, kept {_DOC}, start int, end int, kept_start int")
 
 
-def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
-    """One row per passage that goes: doc_id, start_word, end_word, kept_doc_id, kept_start_word (words from 0, end exclusive).
+def _passages(stretched: DataFrame) -> DataFrame:
+    """Runs that overlap or touch as one, with the document that holds the longest of them. A window holds the runs of one document."""
+    w = Window.partitionBy("doc").orderBy("start", F.desc("end"), "kept")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    nth = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(w)
+    rows = stretched.withColumn("before", before).withColumn("nth", nth)
+    best = F.max_by(F.struct("kept", F.col("kept_start")), F.struct(F.col("end") - F.col("start"), -F.col("kept.doc_id"))).alias("k")
+    return rows.groupBy("doc", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), best).select("doc", "start", "end", "k.kept", "k.kept_start")
 
-    A passage goes if `least` words or more of it stand earlier, in the document
-    kept_doc_id. Null and empty texts have none. A null doc_id takes no part. Rows that
-    repeat a doc_id are one document; with differing texts the least text counts. An empty
-    table gives no rows; other columns are ignored.
-    """
+
+def passages(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """(doc, start, end, kept, kept_start) of the passages that go, documents as struct<doc_id, tag>."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    copies = whole_copies(docs, scratch)
-    small = copies.count() <= links.BROADCAST_ROWS
-    docs = docs.join(F.broadcast(copies) if small else copies, "doc_id", "left_anti")
-    parts = scratch.save(paragraphs(docs), "paragraphs")
-    at = F.struct("doc_id", "no", "word", "words")
-    classes = scratch.save(parts.groupBy("h").agg(F.min(at).alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("across"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)]), "classes")
+    copies, known, others = whole_copies(docs, scratch)
+    parts = scratch.save(paragraphs(docs, known, others), "paragraphs")
+    at = F.struct("doc", "no", "word", "words")
+    classes = parts.groupBy("h").agg(F.min(at).alias("first"), (F.min("doc.doc_id") < F.max("doc.doc_id")).alias("across"), F.count("*").alias("n"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)])
+    classes = scratch.save(classes, "classes")
     met = scratch.save(_met(classes), "met")
     pairs = scratch.save(_candidates(met), "pairs")
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    homes = classes.select(F.col("h").alias("id"), "first.doc_id", "first.no").join(ids.hint("merge"), "id", "left_semi").select("doc_id", "no")
-    homes = scratch.save(homes.groupBy("doc_id").agg(F.collect_list("no").alias("nos")), "homes")  # at most a document's paragraphs
-    sets = scratch.save(paragraph_sets(links.joined(docs, homes, ids.count())).groupBy("id").agg(F.min("items").alias("items")), "sets")
-    near = scratch.save(links.verified(pairs, sets), "links")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    homes = classes.select(F.col("h").alias("id"), "first.doc", "first.no").join(ids.hint("merge"), "id", "left_semi").select("doc.doc_id", "doc.tag", "no")
+    sets = scratch.save(paragraph_sets(docs, links.slots(homes)).groupBy("id").agg(F.min("items").alias("items")), "sets")
+    near = links.verified(pairs, sets, scratch)
     more = scratch.save(_more_links(met, sets, links.components(near, scratch)), "more")
-    scratch.drop(met, pairs, ids, homes, sets)
+    scratch.drop(met, pairs, sets)
     group = links.components(near.union(more), scratch)
     linked = classes.join(group, classes["h"] == group["id"])
     head = linked.groupBy("component").agg(F.min("first").alias("first"))
-    kept = linked.select("h", "component").join(head, "component").select("h", "first")
-    alone = classes.where("across").join(group, classes["h"] == group["id"], "left_anti").select("h", "first")
+    kept = linked.select("h", "n", "component").join(head, "component").select("h", "n", "first")
+    alone = classes.where("across").join(group, classes["h"] == group["id"], "left_anti").select("h", "n", "first")
     kept = scratch.save(kept.unionByName(alone), "kept")
-    found = parts.select("doc_id", "no", "word", "words", "h").join(kept.hint("merge"), "h").where(F.col("first.doc_id") != F.col("doc_id"))
+    found = links.hot_join(parts.select("doc", "no", "word", "words", "h"), kept, ["h"]).where(F.col("first.doc.doc_id") != F.col("doc.doc_id"))
     # Islands of paragraphs of one document against one other: each window holds the paragraphs of one document.
-    w = Window.partitionBy("doc_id", "other").orderBy("no")
-    rows = found.select("doc_id", F.col("first.doc_id").alias("other"), "no", "word", "words", F.col("first.word").alias("p"), F.col("first.words").alias("pw"))
+    w = Window.partitionBy("doc", "other").orderBy("no")
+    rows = found.select("doc", F.col("first.doc").alias("other"), "no", "word", "words", F.col("first.word").alias("p"), F.col("first.words").alias("pw"))
     new = F.when((F.col("no") - F.lag("no").over(w) <= GAP) & (F.abs((F.col("word") - F.lag("word").over(w)) - (F.col("p") - F.lag("p").over(w))) <= SHINGLE), 0).otherwise(1)
-    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "other", "run").agg(
+    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("doc", "other", "run").agg(
         F.min("word").alias("a"), F.max(F.col("word") + F.col("words")).alias("b"), F.min_by("p", "no").alias("p"), F.max_by(F.col("p") + F.col("pw"), "no").alias("q")
     )
-    runs = scratch.save(runs.select("doc_id", F.col("other").alias("kept_doc_id"), "a", "b", "p", "q"), "runs")
-    need = scratch.save(runs.select(F.explode(F.array("doc_id", "kept_doc_id")).alias("doc_id")).distinct(), "need")
-    words = scratch.save(word_rows(links.only(docs, need)).groupBy("id").agg(F.min("hashes").alias("hashes")), "words")
-    whole = _stretched(runs, words).where(F.col("end") - F.col("start") >= least).groupBy("doc_id", "start", "end").agg(F.min(F.struct("kept_doc_id", "kept_start")).alias("k"))
-    whole = whole.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "k.kept_doc_id", F.col("k.kept_start").alias("kept_start_word"))
-    zero = F.lit(0)
-    return whole.unionByName(copies.where(F.col("n_words") >= least).select("doc_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), "kept_doc_id", zero.alias("kept_start_word")))
+    runs = scratch.save(runs.select("doc", F.col("other").alias("kept"), "a", "b", "p", "q"), "runs")
+    need = links.slots(runs.select(F.explode(F.array("doc", "kept")).alias("doc")).select("doc.*").distinct())
+    words = scratch.save(word_rows(docs, need).groupBy("doc").agg(F.min("hashes").alias("hashes")), "words")
+    # A copy that the first pass looked at after all is told by `copies` alone.
+    parted = _passages(_stretched(runs, words)).where(F.col("end") - F.col("start") >= least).join(copies.select("doc").hint("merge"), "doc", "left_anti")
+    whole = copies.where(F.col("n_words") >= least).select("doc", F.lit(0).alias("start"), F.col("n_words").alias("end"), "kept", F.lit(0).alias("kept_start"))
+    return parted.unionByName(whole)
+
+
+def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """One row per passage that goes: doc_id, start_word, end_word, kept_doc_id, kept_start_word (words from 0, end exclusive).
+
+    A passage goes if it has `least` words or more and they stand in documents of lesser
+    doc_ids; of several, kept_doc_id holds the longest part of it, which begins there at
+    kept_start_word. Null and empty texts have none. A null doc_id takes no part. Equal rows
+    are one document; rows that repeat a doc_id with differing texts are looked at each by
+    itself, and not held against each other. An empty table gives no rows; other columns
+    are ignored.
+    """
+    found = passages(docs, scratch, least)
+    return found.select("doc.doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept_start").alias("kept_start_word"))
 
 
 def remove(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents without the words of the spans; n_chars follows where it exists. Every document stays, also one without words left."""
-    lists = scratch.save(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans")), "spans")  # at most a document's passages
-    few = lists.count() <= links.BROADCAST_ROWS
-    rows = docs.join(F.broadcast(lists) if few else lists, "doc_id", "left")
-    touched = F.transform(F.sort_array("_spans"), lambda s: s)
+    """The documents without the words of the spans (doc, start, end); n_chars follows where it exists.
+
+    Every document stays, also one without words left. Words go only from rows of the text
+    that the span was found in. Only rows that may have words to lose are shuffled.
+    """
+    lists = scratch.save(spans.groupBy("doc.doc_id").agg(F.collect_set(F.struct("doc.tag", "start", "end")).alias("spans")), "spans")  # at most a document's passages
     names = docs.columns
-    at, schema = names.index("text"), docs.schema
+    at, extra = names.index("text"), links.fresh(names, "spans")
+    touched, rest = links.parted(docs, lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            spans = batch.column(len(names)).to_pylist()
-            out = [without(t, s) if s else t for t, s in zip(texts, spans)]
+        for batch in slices(batches):
             cols = list(batch.columns[: len(names)])
-            cols[at] = pa.array(out, pa.string())
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                cols[k] = pa.array([len(t) if s else n for t, s, n in zip(out, spans, cols[k].to_pylist())], pa.int64())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            texts, sizes = cols[at].to_pylist(), [None] * batch.num_rows
+            for k, found in enumerate(batch.column(len(names)).to_pylist()):
+                if found and texts[k]:
+                    tag = text_tag(texts[k].encode())
+                    own = sorted((s["start"], s["end"]) for s in found if s["tag"] == tag)
+                    if own:
+                        texts[k] = without(texts[k], own)
+                        sizes[k] = len(texts[k])
+            yield pa.RecordBatch.from_arrays(links.edited(cols, names, texts, sizes), names=names)
 
-    return rows.select(*names, touched.alias("_spans")).mapInArrow(run, schema)
+    return touched.join(lists.withColumnRenamed("spans", extra).hint("merge"), "doc_id", "left").select(*names, extra).mapInArrow(run, docs.schema).union(rest)
 
 
-def without(text: str, spans: list[dict]) -> str:
+def without(text: str, spans: list[tuple[int, int]]) -> str:
     """A text without its words in the spans, and without the white space after each of them."""
     raw = np.frombuffer(text.encode(), np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     bounds = np.concatenate([begins, [len(raw)]])
     keep = np.ones(len(raw), bool)
-    for s in spans:
-        keep[bounds[s["start_word"]] : bounds[min(s["end_word"], len(begins))]] = False
+    for start, end in spans:
+        keep[bounds[start] : bounds[min(end, len(begins))]] = False
     return raw[keep].tobytes().decode()
 
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents without the passages that stand in an earlier one."""
-    return remove(docs, scratch.save(repeats(docs, scratch), "repeats"), scratch)
+    return remove(docs, scratch.save(passages(docs, scratch), "repeats"), scratch)

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from folio.llm.recent import give_back
+
 #: A-Z only; every other byte, also of a multi-byte character, stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -42,18 +44,13 @@ def _geometric(r: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Tables of one piece: of fixed size, whatever the length of a text.
 _up, _down = _geometric(_BASE, PIECE + 1), _geometric(_UNBASE, PIECE + 1)
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends) of the words of a UTF-8 text, A-Z lowered; starts and ends in bytes.
-
-    A word's hash is a polynomial of its bytes modulo 2^64, from running sums over the text.
-    """
-    global _up, _down
+def _word_sums(raw: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(polynomials, starts, ends) of the words of at most PIECE bytes."""
     n = len(raw)
-    if n >= len(_up):
-        _up, _down = _geometric(_BASE, 2 * n), _geometric(_UNBASE, 2 * n)
     b = _TABLE[np.frombuffer(raw, np.uint8)]
     space = np.ones(n + 2, bool)
     space[1:-1] = _SPACE[b]
@@ -61,7 +58,36 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     run = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + _U(1)) * _up[:n], out=run[1:])
-    return mix((run[ends] - run[starts]) * _down[starts]), starts, ends
+    return (run[ends] - run[starts]) * _down[starts], starts, ends
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the words of a UTF-8 text, A-Z lowered; starts and ends in bytes.
+
+    A word's hash is a polynomial of its bytes modulo 2^64, from running sums over the text.
+    Longer texts are hashed piece by piece; a word that a cut falls into is put together again.
+    """
+    if len(raw) <= PIECE:
+        sums, starts, ends = _word_sums(raw)
+        return mix(sums), starts, ends
+    view, parts, open_ = memoryview(raw), [], None  # open_: (sum, start) of a word that may go on
+    for at in range(0, len(raw), PIECE):
+        sums, starts, ends = _word_sums(view[at : at + PIECE])
+        sums, starts, ends = sums.tolist(), starts + at, ends + at
+        if open_ and not (len(starts) and starts[0] == at):
+            parts.append(([open_[0]], [open_[1]], [at]))
+        elif open_:
+            sums[0] = (open_[0] + sums[0] * pow(_BASE, at - open_[1], 1 << 64)) % (1 << 64)
+            starts[0] = open_[1]
+        open_ = None
+        if len(ends) and ends[-1] == at + PIECE:
+            open_ = sums.pop(), int(starts[-1])
+            starts, ends = starts[:-1], ends[:-1]
+        parts.append((sums, starts, ends))
+    if open_:
+        parts.append(([open_[0]], [open_[1]], [len(raw)]))
+    sums, starts, ends = (np.concatenate([np.asarray(x, t) for x in c]) for c, t in zip(zip(*parts), (np.uint64, np.int64, np.int64)))
+    return mix(sums), starts, ends
 
 
 def hashed(texts: list[bytes]) -> list[np.ndarray]:
@@ -104,6 +130,14 @@ def shingles(wh: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mix(h + _U(k))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, so that what is made of a part stays small; at the end freed memory goes back to the system."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    give_back()
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """Values of a string column as UTF-8 bytes; a null is empty."""
     col = batch.column(batch.schema.get_field_index(name))

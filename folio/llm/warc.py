@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.links import hot_join
 from folio.llm.scratch import Scratch
 from folio.llm.text import binary_column
 
@@ -70,6 +71,7 @@ class Archive:
     """One file: the dictionary frame, then a frame for each record."""
 
     def __init__(self, path: str):
+        self.uri = path
         self.files, self.path = fs.FileSystem.from_uri(path)
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
         self.held: list[bytes] = []
@@ -97,6 +99,12 @@ class Archive:
             self._write(self.zip.compress(rec))
         self.held = []
 
+    def abandon(self) -> None:
+        """Removes what a failed attempt has written."""
+        if self.out is not None:
+            self.out.close()
+            self.files.delete_file(self.part)
+
     def close(self) -> None:
         if self.out is None:
             self._begin()
@@ -108,21 +116,24 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """Archives of (page_id, url, html, refers_to, sha) rows; a row (path, records) for each file. Lazy: an action writes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, now, done = f"{folder}/pages-{TaskContext.get().partitionId():06d}", 0, None, []
-        for batch in batches:
-            cols = [batch.column(i) for i in range(5)]
-            for page, url, html, ref, sha in zip(cols[0].to_pylist(), cols[1].to_pylist(), binary_column(batch, "html"), cols[3].to_pylist(), cols[4].to_pylist()):
-                if now is None:
-                    now, k = Archive(f"{base}-{k:04d}.warc.zst"), k + 1
-                    path = f"{base}-{k - 1:04d}.warc.zst"
-                now.add(record(page, url, html, ref, sha))
-                if now.size >= ROTATE_BYTES:
-                    now.close()
-                    done.append((path, now.records))
-                    now = None
-        if now is not None:
-            now.close()
-            done.append((path, now.records))
+        base, done, now = f"{folder}/pages-{TaskContext.get().partitionId():06d}", [], None
+        try:
+            for batch in batches:
+                cols = [batch.column(i) for i in range(5)]
+                for page, url, html, ref, sha in zip(cols[0].to_pylist(), cols[1].to_pylist(), binary_column(batch, "html"), cols[3].to_pylist(), cols[4].to_pylist()):
+                    now = now or Archive(f"{base}-{len(done):04d}.warc.zst")
+                    now.add(record(page, url, html, ref, sha))
+                    if now.size >= ROTATE_BYTES:
+                        now.close()
+                        done.append((now.uri, now.records))
+                        now = None
+            if now is not None:
+                now.close()
+                done.append((now.uri, now.records))
+                now = None
+        finally:
+            if now is not None:
+                now.abandon()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
 
     return pages.select("page_id", "url", "html", "refers_to", "sha").mapInArrow(run, "path string, records long")
@@ -199,17 +210,18 @@ def read(files: DataFrame) -> DataFrame:
     return files.select("path").mapInArrow(run, schema)
 
 
-def with_revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
+def with_revisits(pages: DataFrame, scratch: Scratch, at_least: int = 0) -> DataFrame:
     """Adds sha and refers_to: of equal payloads of at_least bytes or more, all but the largest page_id revisit that one.
 
-    Only ids and digests are grouped, with partial aggregation, so a payload that many
-    pages share costs each task one row; the pages themselves are joined by page_id.
+    Only ids and digests are grouped, with partial aggregation, and a payload that many
+    pages share is dealt over parts when its pages are told; the pages themselves are
+    joined by page_id.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keys = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("hex"), F.octet_length("html").alias("size")).where(F.col("size") >= at_least)
-    groups = keys.groupBy("hex").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("hex", "top")
-    links = keys.join(groups, "hex").where(F.col("page_id") != F.col("top")).select("page_id", F.col("top").alias("refers_to")).distinct()
-    return pages.join(links, "page_id", "left").withColumn("sha", F.lit(None).cast("string"))
+    keys = scratch.save(pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("hex"), F.octet_length("html").alias("size")).where(F.col("size") >= at_least).drop("size"), "digests")
+    groups = scratch.save(keys.groupBy("hex").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    refers = hot_join(keys, groups, ["hex"]).where(F.col("page_id") != F.col("top")).select("page_id", F.col("top").alias("refers_to")).distinct()
+    return pages.join(refers, "page_id", "left").withColumn("sha", F.lit(None).cast("string"))
 
 
 def archive(pages: DataFrame, folder: str, scratch: Scratch, at_least: int = 0) -> DataFrame:
@@ -219,6 +231,6 @@ def archive(pages: DataFrame, folder: str, scratch: Scratch, at_least: int = 0)
     never refers; repeated page_ids with one payload are records of their own; an empty
     table writes no file; other columns are ignored.
     """
-    rows = with_revisits(pages, at_least).repartition("page_id").sortWithinPartitions("page_id", "url")
+    rows = with_revisits(pages, scratch, at_least).repartition("page_id").sortWithinPartitions("page_id", "url")
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
     return scratch.save(write(rows, folder), "archives")

@@ -37,6 +37,15 @@ def test_packing(docs, texts):
         assert at <= 4096
 
 
+def test_packing_of_odd_rows_and_fill(docs, empty, spark):
+    path = queries.tokenizer("word_bpe_49k.json")
+    assert packing.pack(empty, path).count() == 0
+    got = packing.pack(docs, path).collect()
+    assert sum(r["piece"] == 0 for r in got) == docs.count() and any(r["doc_id"] is None for r in got)
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), path).collect()
+    assert sum(r["length"] for r in got) >= 0.97 * 4096 * len({r["sequence_id"] for r in got})
+
+
 def test_open_bins_are_bounded():
     bins, rng, used = packing.OpenBins(100, 16), random.Random(1), {}
     for _ in range(2000):
@@ -62,8 +71,7 @@ def test_sentencepiece(docs, texts, spark):
     got = {r["doc_id"]: r for r in spm.decode(spm.encode(docs, path), path).collect()}
     for d, t in texts.items():
         assert got[d]["text"] == (t or "")
-        if d != 118:
-            assert got[d]["ids"] == sp.encode(t or ""), d
+        assert got[d]["ids"] == sp.encode(t or ""), d
 
 
 def test_sentencepiece_on_real_words(spark):
@@ -106,6 +114,32 @@ def test_media_resynchronises():
     assert media.parse(b"").samples == 0 and media.parse(b"\xff" * 50).skipped == 50
 
 
+def test_media_tags_and_versions():
+    import struct
+
+    def frame(version, rate_bits, index, mono=True):
+        head = bytes((0xFF, 0xE0 | version << 3 | 2 | 1, index << 4 | rate_bits << 2, 0xC0 if mono else 0))
+        bitrates, divisor, samples, *_ = media.VERSIONS[version]
+        return head.ljust(samples // 8 * bitrates[index] * 1000 // (media.RATES[rate_bits] // divisor), b"\0")
+
+    utf16, utf8 = b"\x01" + "T\u00eft".encode("utf-16"), b"\x03" + "\u6f22".encode()
+    body = b"TIT2" + media._syncsafe(len(utf16)) + b"\0\0" + utf16 + b"TPE1" + media._syncsafe(len(utf8)) + b"\0\0" + utf8
+    tag = b"ID3\x04\0\0" + media._syncsafe(len(body)) + body
+    last = b"TAG" + b"Old".ljust(30, b"\0") + b"\0" * 30 + b"Album".ljust(30, b"\0") + b"\0" * 35
+    for version, samples in ((3, 1152), (2, 576), (0, 576)):
+        vbri = bytearray(frame(version, 0, 8))
+        vbri[36:62] = b"VBRI" + bytes(10) + struct.pack(">I", 3) + struct.pack(">HHHH", 2, 1, 2, 1)
+        x = media.parse(tag + bytes(vbri) + frame(version, 0, 5) * 3 + last)
+        assert (x.samples, len(x.offsets), x.declared_frames, x.skipped, len(x.toc)) == (3 * samples, 3, 3, 0, 4)
+        assert x.rate == 44100 // media.VERSIONS[version][1] and x.tags == {"TIT2": "T\u00eft", "TPE1": "\u6f22", "TALB": "Album"}
+
+
+def test_media_stores_durations_and_offsets(docs, empty):
+    assert media.probe(media.store(empty)).count() == 0
+    for r in media.probe(media.store(docs)).collect():
+        assert r["stored_as_read"] and r["samples"] == 1152 * len(r["frame_offsets"]) and r["rate"] == 32000
+
+
 def test_word_hashes():
     samples = ["", " ", "a", "A b  a\tb\n", "é\x1cx É", "x" * 300000 + " y", "\x00 \x00\x00"]
     known = {}
@@ -117,11 +151,36 @@ def test_word_hashes():
     assert len(set(known.values())) == len(known)
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    raw = "".join(rng.choice("ab  c\té\n") for _ in range(3000)).encode() + b" " + b"z" * 700 + b" end" + b" " * 300
+    whole = text.word_hashes(raw)
+    monkeypatch.setattr(text, "PIECE", 64)
+    for a, b in zip(whole, text.word_hashes(raw)):
+        assert np.array_equal(a, b)
+    assert len(text.word_hashes(b" " * 500)[0]) == 0 and len(text.word_hashes(b"y" * 128)[0]) == 1
+
+
+def test_recent_values_are_bounded():
+    from folio.llm.recent import Recent
+
+    known = Recent(10)
+    for i in range(0, 200, 5):
+        new = known.missing({f"k{k}" for k in range(i, i + 5)} | {"hot"})
+        assert ("hot" in new) == (i == 0)
+        known.update(dict.fromkeys(new, 1))
+        assert len(known) <= 17 and len(known.old) <= 17
+
+
 def naive_sketch(t):
     h = text.shingles(text.word_hashes(t.encode())[0])
     return {int(x) for x in h if int(x) < 2**64 // fingerprint.SCALE}
 
 
+def all_shingles(t):
+    return set(text.shingles(text.word_hashes(t.encode())[0]).tolist())
+
+
 def test_fingerprints(docs, texts):
     one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r["doc_id"]: r for r in fingerprint.neighbours(one).collect()}
@@ -133,9 +192,11 @@ def test_fingerprints(docs, texts):
         r = got[d]
         assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         a, b = naive_sketch(own), naive_sketch(edited)
-        assert len(base64.b64decode(r["fingerprint"])) == 6 * len(a)
-        want = float(len(a) == len(b)) if not a or not b else len(a & b) / min(len(a), len(b))
-        assert abs(r["near_edited"] - want) < 1e-12
+        assert len(base64.b64decode(r["fingerprint"])) == 5 * len(a)
+        for name, text_, x in (("near_edited", edited, b), ("near_next", nxt, naive_sketch(nxt))):
+            want = 0.0 if a or x else float(all_shingles(own) == all_shingles(text_))
+            want = len(a & x) / min(len(a), len(x)) if a and x else want
+            assert abs(r[name] - want) < 1e-12
     assert got[113]["fingerprint"] == got[114]["fingerprint"]
 
 
@@ -182,6 +243,40 @@ def test_toxicity_marginals_equal_enumeration():
         at = end
 
 
+def test_toxicity_pair_counts_equal_enumeration():
+    rng = np.random.default_rng(7)
+    u, pairs = rng.normal(0, 1, 7), np.array([[0.0, -1.0], [0.5, 1.2]])
+    ends = np.array([3, 7])
+    want, at = np.zeros((2, 2)), 0
+    for end in ends:
+        x, total, counts = u[at:end], 0.0, np.zeros((2, 2))
+        for k in range(1 << len(x)):
+            tags = [k >> i & 1 for i in range(len(x))]
+            w = np.exp(sum(s for s, t in zip(x, tags) if t) + sum(pairs[p, q] for p, q in zip(tags, tags[1:])))
+            total += w
+            for p, q in zip(tags, tags[1:]):
+                counts[p, q] += w
+        want += counts / total
+        at = end
+    assert np.allclose(toxicity.pair_counts(u, ends, pairs, *toxicity.messages(u, ends, pairs)), want)
+
+
+def test_toxicity_spans_are_offsets(spark):
+    tagger = toxicity.fit([(b"you are an idiot today", 1), (b"a fine day is today", 0)] * 20 + [(f"q{i} idiot r{i}".encode(), 1) for i in range(40)] + [(f"q{i} fine r{i}".encode(), 0) for i in range(40)])
+    rows = [(1, "é well...idiot, (idiot) x/IDIOT day\n\t idiot"), (2, "a fine day"), (3, None)]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()}
+    assert [rows[0][1][s["start"] : s["end"]].lower() for s in got[1]["spans"]] == ["idiot"] * 4
+    assert got[2]["spans"] == [] and got[3]["spans"] == [] and got[1]["predicted"] == 1 and got[2]["predicted"] == 0
+
+
+def test_training_rows_are_bounded(spark):
+    d = spark.createDataFrame([(i, "x" * 1000) for i in range(100)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(d, y, most=30)) == 60
+    for label in (0, 1):
+        assert sum(v == label for _, v in toxicity.training_rows(d, y, most_bytes=20000)) == 10
+
+
 def test_toxicity_blocks_join_up():
     rng = np.random.default_rng(6)
     u, pairs = rng.normal(-1, 2, 3000), np.array([[0.0, -1.0], [0.2, 1.0]])
@@ -243,17 +338,19 @@ def test_licenses(spark, docs, empty):
 def test_license_blocks_equal_brute_force(spark):
     rng = random.Random(4)
     vocabulary = sorted({w for _, _, ws in license_scan.templates() for w in ws}) + ["and", "q"]
-    rows = [(i, "\n".join(" ".join(rng.sample(vocabulary, rng.randrange(4, 14)) if rng.random() < 0.3 else [w for w in rng.choice(license_scan.TEMPLATES)[1].split() if rng.random() < 0.93]) for _ in range(4))) for i in range(120)]
+    rows = [(i, "\n".join(" ".join(rng.sample(vocabulary, rng.randrange(4, 34)) if rng.random() < 0.3 else [w for w in rng.choice(license_scan.TEMPLATES)[1].split() if rng.random() < 0.93]) for _ in range(14))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = set()
     for i, t in rows:
-        for k, line in enumerate(t.split("\n")):
+        w = t.split()
+        for k, a in enumerate(range(0, max(1, len(w) - license_scan.STEP), license_scan.STEP)):
             for _, label, ws in license_scan.templates():
-                both = len(set(ws) & set(line.split()))
+                both = len(set(ws) & set(w[a : a + license_scan.WIDTH]))
                 if both >= license_scan.needed(len(ws)):
-                    want.add((i, k, label))
-    got = {(r["doc_id"], r["block"], r["label"]) for r in license_scan.blocks(df, license_scan.frequencies(df)).collect()}
+                    want.add((i, k, label, round(both / len(ws), 9)))
+    got = {(r["doc_id"], r["block"], r["label"], round(r["share"], 9)) for r in license_scan.blocks(df, license_scan.frequencies(df)).collect()}
     assert got == want and len(want) > 30
+    assert max(len(t.split()) for _, t in license_scan.TEMPLATES) <= license_scan.WIDTH - license_scan.STEP
 
 
 def test_wrapped_licenses(spark):
