@@ -53,6 +53,7 @@ def chunk_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
         "too_long": F.when(F.col("length") > PLAIN.max_size, 1),
         "not_a_slice": F.when(F.substring(raw, F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text").cast("binary"), 1),
         "unfinished": F.when(F.col("after").isNull() & (F.col("end") != F.octet_length("whole")), 1),
+        "overlaps": F.when(fn.measured_length(F.decode(F.substring(raw, F.col("start") + 1, F.greatest(F.col("before") - F.col("start"), F.lit(0))), "UTF-8")) > PLAIN.overlap, 1),
     }
     return rows.groupBy("doc_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(k) for k, c in bad.items()])
 
@@ -126,15 +127,31 @@ def soft_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.size(wraps).cast("long").alias("wraps"))
 
 
+#: Characters of a window of sections, and ids of a run whose lengths are summed first.
+WINDOW, RUN = 5000, 4096
+
+
 def sections_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source laid end to end as sections, and which of them each window of 5,000 characters meets."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("n"))
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = docs.withColumn("start", F.coalesce(F.sum(F.col("n") + 2).over(w), F.lit(0))).withColumn("end", F.col("start") + F.col("n"))
-    per = laid.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "end", "doc_id"))).alias("sections"), F.max("end").alias("total"))
-    windows = per.select("source", "sections", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total"), F.lit(5000).cast("long"))).alias("at"))
-    met = fn.sections_in(F.col("sections"), F.col("at"), F.col("at") + 5000)
-    return windows.select("source", F.col("at"), F.size(met).cast("long").alias("n"), F.array_join(F.transform(met, lambda s: s["doc_id"].cast("string")), ",").alias("doc_ids"))
+    """Documents of a source laid end to end as sections, and which of them each window of 5,000 characters meets.
+
+    Running sums are taken of runs of ids and then within each, so that no task holds a
+    whole source; sections go to the windows that they touch, which a window's group
+    bounds.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.floor(F.col("doc_id") / RUN).alias("run"))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = docs.groupBy("source", "run").agg(F.sum(F.col("n") + 2).alias("size"))
+    runs = runs.withColumn("base", F.coalesce(F.sum("size").over(upto("source").orderBy("run")), F.lit(0)))
+    inner = F.coalesce(F.sum(F.col("n") + 2).over(upto("source", "run").orderBy("doc_id")), F.lit(0))
+    start = F.col("base") + F.col("inner")
+    laid = docs.withColumn("inner", inner).join(runs, ["source", "run"]).select("source", "doc_id", start.alias("start"), (start + F.col("n")).alias("end"))
+    total = laid.groupBy("source").agg(F.max("end").alias("total"))
+    at = lambda a, b: F.explode(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>")))
+    number = lambda c: F.floor(c / WINDOW).cast("long")
+    touched = laid.where("start < end").select("source", at(number(F.col("start")), number(F.col("end") - 1)).alias("w"), F.struct("start", "doc_id").alias("s"))
+    every = laid.join(total, "source").select("source", at(number(F.col("start") + WINDOW - 1), number(F.least(F.col("end") + 1, "total"))).alias("w"), F.lit(None).cast("struct<start: bigint, doc_id: bigint>").alias("s"))
+    met = touched.unionByName(every).groupBy("source", "w").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return met.select("source", (F.col("w") * WINDOW).alias("at"), F.size("s").cast("long").alias("n"), F.array_join(F.transform("s", lambda x: x["doc_id"].cast("string")), ",").alias("doc_ids"))
 
 
 QUERIES = {
@@ -156,11 +173,45 @@ QUERIES = {
     "sections_in": sections_in,
 }
 
+#: The splitter on texts of plain lines: candidate positions with ranks by stretches of a text, and from each start the best of those near. A recursive query.
+_S, _O, _M = PLAIN.size, PLAIN.overlap, PLAIN.max_size
+_CHUNKS = rf"""
+d AS MATERIALIZED (SELECT doc_id, lang, text, length(text) AS n, string_split(text, chr(10)) AS l, length(rtrim(text, ' ' || chr(10) || chr(9))) AS last FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> ''),
+ln AS (SELECT doc_id, k, l[k] AS x, CASE WHEN k > 1 THEN l[k - 1] END AS before FROM d, unnest(range(1, len(l) + 1)) AS t(k)),
+la AS MATERIALIZED (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM ln),
+w AS (SELECT doc_id, a, string_split(replace(x, chr(9), ' '), ' ') AS w FROM la),
+e AS (SELECT doc_id, a, i, w[i] AS y, length(w[i]) + 1 AS size FROM w, unnest(range(1, len(w))) AS t(i)),
+sp AS (SELECT doc_id, y, a + sum(size) OVER (PARTITION BY doc_id, a ORDER BY i)::BIGINT AS p FROM e),
+c AS MATERIALIZED (
+  SELECT doc_id, p, p // {_M} AS m, CASE WHEN y[-1] IN ('.', '!', '?') THEN 4 WHEN y[-1] IN (',', ';') THEN 3 ELSE 2 END AS r FROM sp
+  UNION ALL
+  SELECT doc_id, a, a // {_M}, CASE WHEN NOT regexp_matches(before, '(  |\\)$') AND regexp_matches(before, '[\p{{L}}\p{{N}}][ \t]*$') AND regexp_matches(x, '^[ \t]*[\p{{L}}\p{{N}},.;:!?)]') THEN 2 ELSE 5 END FROM la WHERE k > 1),
+s AS MATERIALIZED (SELECT doc_id, m, list({{'p': p, 'r': r}} ORDER BY p) AS c FROM c GROUP BY doc_id, m),
+near AS MATERIALIZED (SELECT d.doc_id, d.n, d.last, d.text, x.m, coalesce(a.c, []) || coalesce(b.c, []) AS ahead, coalesce(z.c, []) || coalesce(a.c, []) AS behind
+  FROM d, unnest(range(0, d.n // {_M} + 1)) AS x(m) LEFT JOIN s a ON a.doc_id = d.doc_id AND a.m = x.m LEFT JOIN s b ON b.doc_id = d.doc_id AND b.m = x.m + 1 LEFT JOIN s z ON z.doc_id = d.doc_id AND z.m = x.m - 1),
+k AS (
+  SELECT doc_id, 0::BIGINT AS no, 0::BIGINT AS a, NULL::BIGINT AS b FROM d
+  UNION ALL
+  SELECT doc_id, CASE WHEN b IS NULL THEN no ELSE no + 1 END, CASE WHEN b IS NULL THEN a ELSE nxt END, CASE WHEN b IS NULL THEN cut END FROM (
+    SELECT doc_id, no, a, b,
+      CASE WHEN b IS NOT NULL THEN NULL WHEN n - a <= {_M} THEN n ELSE coalesce(
+        -(list_max(list_transform(list_filter(ahead, lambda x: x.p >= a + {max(_O + 1, _S // 2)} AND x.p <= a + {_S} AND n - x.p > {_M - _S} AND x.p < last), lambda x: {{'r': x.r, 'd': -abs(x.p - a - target), 'p': -x.p}})).p),
+        -(list_max(list_transform(list_filter(ahead, lambda x: x.p >= a + {max(_O + 1, _S // 2)} AND x.p <= a + {_M} AND x.p < last), lambda x: {{'r': x.r, 'd': -abs(x.p - a - target), 'p': -x.p}})).p)) END::BIGINT AS cut,
+      CASE WHEN b IS NULL THEN NULL WHEN b - {_O} <= a THEN b ELSE coalesce(-(list_max(list_transform(list_filter(behind, lambda x: x.p >= b - {_O} AND x.p < solid), lambda x: {{'r': x.r, 'p': -x.p}})).p), b) END::BIGINT AS nxt
+    FROM (SELECT k.*, near.n, near.last, near.ahead, near.behind, length(rtrim(near.text[1:k.b], ' ' || chr(10) || chr(9))) AS solid,
+        ceil((near.n - k.a + (ceil((near.n - k.a - {_O}) / {_S - _O}) - 1) * {_O}) / ceil((near.n - k.a - {_O}) / {_S - _O})) AS target
+      FROM k JOIN near ON near.doc_id = k.doc_id AND near.m = coalesce(k.b, k.a) // {_M}) q
+    WHERE b IS NULL OR b < n) y),
+chunks AS (SELECT k.doc_id, d.lang, k.no AS chunk_no, k.b - k.a AS length, d.text[k.a + 1:k.b] AS text FROM k JOIN d USING (doc_id) WHERE k.b IS NOT NULL)
+"""
+
 _MARKERS = ", ".join("'" + m.replace("\t", "' || chr(9) || '") + "'" for m in MARKERS)
 
 SQL = {
+    "chunk_exact": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_no, length, text FROM chunks",
+    "chunk_stats_by_lang": f"WITH RECURSIVE {_CHUNKS} SELECT lang, count(*)::BIGINT AS chunks, max(length)::BIGINT AS longest, sum(length)::BIGINT AS code_points FROM chunks GROUP BY lang",
     "chunk_rebuild": "SELECT doc_id, text FROM documents WHERE trim(text, ' ' || chr(10)) <> ''",
-    "chunk_contract": "SELECT doc_id, 0::BIGINT AS gaps, 0::BIGINT AS disorder, 0::BIGINT AS too_long, 0::BIGINT AS not_a_slice, 0::BIGINT AS unfinished FROM documents WHERE trim(text, ' ' || chr(10)) <> ''",
+    "chunk_contract": "SELECT doc_id, 0::BIGINT AS gaps, 0::BIGINT AS disorder, 0::BIGINT AS too_long, 0::BIGINT AS not_a_slice, 0::BIGINT AS unfinished, 0::BIGINT AS overlaps FROM documents WHERE trim(text, ' ' || chr(10)) <> ''",
     "heading_paths": """
 SELECT n_regionkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS chunk_no, r_name AS path,
   r_name || chr(10) || chr(10) || '## ' || n_name || chr(10) || chr(10) || 'Nation ' || n_name || ' has key ' || n_nationkey || '.' || chr(10)
@@ -171,7 +222,7 @@ FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "format_of_url": "SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'html' WHEN 1 THEN 'md' WHEN 4 THEN 'yaml' WHEN 6 THEN 'txt' END AS format FROM pages",
     "source_limit": "SELECT doc_id, CASE WHEN strlen(text) > 4096 THEN 'source limit of 4096 exceeded' END AS error FROM documents",
     "json_fence": "SELECT event_id, '```json' || chr(10) || props || chr(10) || '```' AS markdown FROM events",
-    "fence_length": "SELECT doc_id, greatest(3, 1 + list_max(list_transform(regexp_extract_all(substr(text, 1, 40) || repeat('`', (doc_id % 6)::INT) || ' x ``', '`+'), lambda x: length(x))))::BIGINT AS fence FROM documents",
+    "fence_length": "SELECT doc_id, greatest(3, 1 + list_max(list_transform(regexp_extract_all(text || repeat('`', (doc_id % 6)::INT) || ' x ``', '`+'), lambda x: length(x))))::BIGINT AS fence FROM documents",
     "paragraph_escape": f"""
 WITH t AS (SELECT p_partkey, ltrim(([{_MARKERS}])[1 + p_partkey % {len(MARKERS)}], ' ' || chr(9)) || ' ' || p_name AS a, p_name FROM part)
 SELECT p_partkey, CASE WHEN regexp_matches(a, '^[#>+*=|`~<_-]') THEN '\\' || a

@@ -120,7 +120,7 @@ def _numbered(value: Decimal, tokens: list[str]) -> str:
             out.append("" if done else digits)
             done = True
         elif k == point:
-            out.append(("" if done else digits) + "." * bool(fraction or "0" in optional))
+            out.append(("" if done else digits) + ".")
             done = True
         elif k in after:
             out.append(fraction[: len(t)])
