@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm.recent import small_batches
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset."""
@@ -27,6 +29,7 @@ class Scratch:
     """Parquet tables of one operator run, dropped when they are no longer needed."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
         self.n = 0

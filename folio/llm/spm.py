@@ -20,10 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from folio.llm.recent import MOST, Recent, give_back, small_batches
 from folio.llm.text import binary_column
 
 SPACE = "▁"
-_CACHE = 800_000
+#: Words of one of two generations and pairs of pieces that a worker remembers: some 100 MB at most, given back at a task's end.
+WORDS, PAIRS = 200_000, 500_000
 _LATIN, _STOPS = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,;:!?]"
 _MEETING = re.compile(f"{_LATIN}{_STOPS}|{_STOPS}{_LATIN}")
 _WORD = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
@@ -32,7 +34,7 @@ _BARE_WORD = f"{SPACE}*{_LATIN}+(?={_STOPS}|[{SPACE}\n]|\\Z)|{_STOPS}+(?={_LATIN
 
 
 class Model:
-    """Pieces of a SentencePiece model file and the words encoded so far, at most _CACHE of them."""
+    """Pieces of a SentencePiece model file, and what is known of recent words and pairs of pieces: bounded, see recent.py."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -52,9 +54,10 @@ class Model:
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.id_of))
         self.word = re.compile(_WORD if any(map(_MEETING.search, self.id_of)) else _BARE_WORD)
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.words = Recent(WORDS)
+        self.pairs: dict[int, bool] = {}  # by the numbers of both pieces
         self.whole: dict[str, bool] = {}
+        self.count = n
 
     def merge(self, word: str) -> list[str]:
         """Greedy merging, best piece first and leftmost on ties: the meaning that the forward pass has to match."""
@@ -71,35 +74,44 @@ class Model:
         return parts
 
     def _follows(self, a: str, b: str) -> bool:
-        if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 2 * _CACHE:
+        """Whether merging the two alone leaves both as they are; remembered if both are pieces of the model."""
+        ok = self.merge(a + b) == [a, b]
+        if a in self.id_of and b in self.id_of:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            self.pairs[self.id_of[a] * self.count + self.id_of[b]] = ok
         return ok
 
     def _stands(self, a: str) -> bool:
         if (ok := self.whole.get(a)) is None:
-            if len(self.whole) > _CACHE:
+            if len(self.whole) > MOST:
                 self.whole.clear()
             ok = self.whole[a] = self.merge(a) == [a]
         return ok
 
-    def _last(self, word: str, end: int, last: list[int]) -> int:
-        """Length of the last piece of word[:end], given those of the shorter prefixes; 0 if no piece fits."""
-        rank, pairs = self.rank, self.pairs
-        for at in range(max(0, end - self.longest), end):
-            piece = word[at:end]
-            if piece not in rank and at < end - 1:
-                continue
-            if not at:
-                if self._stands(piece):
-                    return end
-            elif size := last[at]:
-                before = word[at - size : at]
-                ok = pairs.get((before, piece))
-                if self._follows(before, piece) if ok is None else ok:
-                    return end - at
-        return 0
+    def _extend(self, word: str, last: list[tuple[int, int]]) -> None:
+        """Adds to `last`, for each prefix of the word that it lacks, the length and number of its last piece; length 0 if no piece fits."""
+        id_of, pairs, longest, count = self.id_of, self.pairs, self.longest, self.count
+        for end in range(len(last), len(word) + 1):
+            found = 0, -1
+            for at in range(max(0, end - longest), end):
+                piece = word[at:end]
+                j = id_of.get(piece, -1)
+                if j < 0 and at < end - 1:
+                    continue
+                if not at:
+                    if self._stands(piece):
+                        found = end, j
+                        break
+                    continue
+                size, i = last[at]
+                if not size:
+                    continue
+                ok = pairs.get(i * count + j) if i >= 0 and j >= 0 else None
+                if self._follows(word[at - size : at], piece) if ok is None else ok:
+                    found = end - at, j
+                    break
+            last.append(found)
 
     def _ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -115,24 +127,22 @@ class Model:
 
     def learn(self, words: set[str]) -> None:
         """Encodes new words: depth-first over the trie that their sorted order is."""
-        if len(self.words) > _CACHE:
-            self.words.clear()
-        before, last = "", [0]
-        for word in sorted(w for w in words if w not in self.words):
+        before, last, id_of = "", [(0, -1)], self.id_of
+        for word in sorted(self.words.missing(words)):
             same = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 same += 1
             del last[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                last.append(self._last(word, end, last))
-            pieces, end = [], len(word)
-            while end and last[end]:
-                pieces.append(word[end - last[end] : end])
-                end -= last[end]
-            pieces = self.merge(word) if end else pieces[::-1]
-            self.words[word] = np.asarray(self._ids(pieces), "<i4").tobytes()
+            self._extend(word, last)
+            ids, end = [], len(word)
+            while end and (size := last[end][0]):
+                ids.append(last[end][1])
+                end -= size
+            # No path, or a character that is no piece: plain merging says what it becomes.
+            ids = self._ids(self.merge(word)) if end or -1 in ids else ids[::-1]
+            self.words[word] = np.asarray(ids, "<i4").tobytes()
             before = word
 
     def split(self, text: str) -> list[str]:
@@ -146,6 +156,12 @@ class Model:
         blobs = [b"".join(map(self.words.__getitem__, r)) for r in rows]
         return np.frombuffer(b"".join(blobs), "<i4"), np.cumsum([0, *(len(b) // 4 for b in blobs)])
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.pairs.clear()
+        self.whole.clear()
+        give_back()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ids, bounds = self.flat(texts)
         return np.split(ids, bounds[1:-1])
@@ -179,12 +195,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 ids, bounds = m.flat([t.decode() for t in binary_column(part, "text")])
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
+        m.forget()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
