@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field over the words of a document.
 
-Two tags, clean and toxic. A word's potential is the sum of the weights of its hashed
-features (the word, its first 3 to 7 letters, its last 3); the chain has a potential
-for each pair of tags. Marginals come from forward and backward ratios, exact up to
+Two tags, clean and toxic. Words are the runs of letters of white-space separated pieces
+(a piece without letters is one word). A word's potential is the sum of the weights of its
+hashed features (the word, its first 3 to 7 letters, its last 3); the chain has a
+potential for each pair of tags. Marginals come from forward and backward ratios, exact up to
 the warm-up of a block; they give the offending offsets and, summed, the document's
 score. Scoring is one narrow pass; fitting uses a bounded sample of labelled rows.
 """
@@ -17,19 +18,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.llm.recent import Recent, give_back, small_batches
 from folio.llm.text import binary_column, mix, shingles, word_hashes
 
 #: Most labelled rows of each label that a fit reads, chosen by hash of their id.
 SAMPLE = 1200
+#: Most bytes of text that a fit reads.
+SAMPLE_BYTES = 64 << 20
 #: A document is rejected from this score on.
 REJECT = 0.3
 BUCKETS = 1 << 19
 #: A feature that labels tokens is so many times as frequent among toxic documents as among others.
 TELLING = 20
-_CACHE = 1_500_000
 _BLOCK, _WARM = 512, 96
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -39,12 +42,15 @@ def likely(p: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.where(p > 0.5, p**4, 0), np.concatenate([[0], ends[:-1]])) if len(ends) else np.zeros(0)
 
 
-def features(piece: bytes) -> list[int]:
-    """Buckets of a white-space separated piece's features; 0 alone for one without letters."""
-    found = _LETTERS.search(piece.decode("utf-8", "ignore").lower())
-    if not found:
+def words_of(piece: bytes) -> list[str]:
+    """The runs of letters of a white-space separated piece in lower case; an empty word for one without letters."""
+    return _LETTERS.findall(piece.decode("utf-8", "ignore").lower()) or [""]
+
+
+def features(w: str) -> list[int]:
+    """Buckets of a word's features; 0 alone for an empty word."""
+    if not w:
         return [0]
-    w = found[0]
     names = ["w" + w, *(f"p{w[:n]}" for n in (3, 4, 5, 6, 7) if len(w) >= n), "s" + w[-3:]]
     return [1 + zlib.crc32(x.encode()) % (BUCKETS - 1) for x in names]
 
@@ -62,14 +68,16 @@ def _ratios(odds: np.ndarray, m: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(scores: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """P(toxic) of each word of documents laid end to end; ends: one past each document's last word.
+def messages(scores: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward odds of the toxic tag at each word of documents laid end to end; ends: one past each document's last word.
+
+    Forward odds include the word's own potential, backward ones do not.
 
     Long documents are cut into blocks with a warm-up on either side, over which the
     chain forgets where it began, and all blocks advance together.
     """
     if not len(scores):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     starts = np.concatenate([[0], ends[:-1]])
     sizes = ends - starts
     blocks = -(-sizes // _BLOCK)
@@ -79,11 +87,11 @@ def marginals(scores: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> np.nda
     size = np.minimum(_BLOCK, ends[doc] - at)
     lead = np.minimum(_WARM, at - starts[doc])
     tail = np.minimum(_WARM, ends[doc] - at - size)
-    m, out = np.exp(pairs), np.empty(len(scores))
+    m, forward, backward = np.exp(pairs), np.empty(len(scores)), np.empty(len(scores))
     odds = np.exp(np.clip(scores, -30, 30))
     order = np.argsort(lead + size + tail, kind="stable")
-    for i in range(0, len(order), 2048):
-        b = order[i : i + 2048]
+    for i in range(0, len(order), 256):
+        b = order[i : i + 256]
         width = int((lead + size + tail)[b].max())
         pos = np.arange(width)[None, :]
         inside = pos < (lead + size + tail)[b][:, None]
@@ -97,10 +105,29 @@ def marginals(scores: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> np.nda
             y = x[:, t + 1] * r
             r = np.where(t + 1 < done, (m[1, 0] + m[1, 1] * y) / (m[0, 0] + m[0, 1] * y), 1.0)
             back[:, t] = r
-        o = np.minimum(fwd * back, 1e15)
         keep = inside & (pos >= lead[b][:, None]) & (pos < (lead + size)[b][:, None])
-        out[idx[keep]] = (o / (1 + o))[keep]
-    return out
+        forward[idx[keep]], backward[idx[keep]] = fwd[keep], back[keep]
+    return forward, backward
+
+
+def _share(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    o = np.minimum(forward * backward, 1e15)
+    return o / (1 + o)
+
+
+def marginals(scores: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """P(toxic) of each word."""
+    return _share(*messages(scores, ends, pairs))
+
+
+def pair_counts(scores: np.ndarray, ends: np.ndarray, pairs: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    """Expected numbers of tag pairs of neighbours in the chains: the sums of their pairwise marginals, from the messages."""
+    within = np.ones(max(0, len(scores) - 1), bool)
+    within[ends[:-1] - 1] = False
+    m, left = np.exp(pairs), forward[:-1][within]
+    right = (np.exp(np.clip(scores, -30, 30)) * backward)[1:][within]
+    joint = np.stack([np.full(len(left), m[0, 0]), m[0, 1] * right, m[1, 0] * left, m[1, 1] * left * right])
+    return (joint / joint.sum(0)).sum(1).reshape(2, 2)
 
 
 @dataclass
@@ -117,14 +144,23 @@ class Tagger:
         return 1 / (1 + np.exp(-z))
 
 
-class _Scores(dict):
+class _Scores(Recent):
+    """Of recent pieces, the potentials of their words as bytes."""
+
     def __init__(self, weights: np.ndarray):
-        super().__init__()
+        super().__init__(100_000)
         self.weights = weights
 
-    def __missing__(self, piece: bytes) -> float:
-        s = self[piece] = float(self.weights[features(piece)].sum() + self.weights[0])
-        return s
+    def learn(self, pieces: set[bytes]) -> None:
+        new = self.missing(pieces)
+        each = [[features(w) for w in words_of(p)] for p in new]
+        sizes = [len(f) for fs in each for f in fs]
+        flat = np.array([x for fs in each for f in fs for x in f], np.int64)
+        sums = np.add.reduceat(self.weights[flat], np.cumsum([0, *sizes[:-1]])) + self.weights[0] if sizes else np.zeros(0)
+        raw, at = sums.astype("<f8").tobytes(), 0
+        for p, fs in zip(new, each):
+            self[p] = raw[at : at + 8 * len(fs)]
+            at += 8 * len(fs)
 
 
 def _suspect(pos: Counter, neg: Counter, n_pos: int, n_neg: int) -> set[int]:
@@ -158,16 +194,16 @@ def fit(sample: list[tuple[bytes, int]], rounds: int = 30) -> Tagger:
         weights[0] = -10
         p = (n_pos + 0.01) / (len(sample) + 0.1)
         return Tagger(weights, pairs, np.array([np.log(p / (1 - p)), 0.0]))
-    ids: dict[bytes, int] = {}
+    ids: dict[str, int] = {}
     feats: list[list[int]] = []
     docs, df = [], (Counter(), Counter())
     for text, y in sample:
         words = []
-        for piece in text.split():
-            if piece not in ids:
-                ids[piece] = len(feats)
-                feats.append(features(piece))
-            words.append(ids[piece])
+        for w in (w for piece in text.split() for w in words_of(piece)):
+            if w not in ids:
+                ids[w] = len(feats)
+                feats.append(features(w))
+            words.append(ids[w])
         docs.append(np.array(words, np.int64))
         df[y].update({f for w in set(words) for f in feats[w]})
     suspects = _suspect(df[1], df[0], n_pos, n_neg)
@@ -184,20 +220,20 @@ def fit(sample: list[tuple[bytes, int]], rounds: int = 30) -> Tagger:
     within[ends[:-1] - 1] = False
     g, k = gold.astype(int), np.zeros((2, 2))
     np.add.at(k, (g[:-1][within], g[1:][within]), 1)
-    k += 0.5
     weights[0] = -4.0
     rate, n_words = np.full(BUCKETS, 1e-6), len(feats)
     for _ in range(rounds):
         u = np.bincount(wid, weights[fid], n_words) + weights[0]
-        # Tag pairs: conditional odds given the words' own potentials, refitted from the labelled chain.
-        p = marginals(u[words], ends, pairs)
+        messages_ = messages(u[words], ends, pairs)
+        p = _share(*messages_)
         err = np.bincount(words, gold - p, n_words)
         grad = np.bincount(fid, err[wid], BUCKETS)
         grad[0] += err.sum()
         grad -= 0.02 * weights
         rate += grad * grad
         weights += grad / np.sqrt(rate)
-        both = _pair_counts(u[words], ends, pairs, p)
+        # Tag pairs: iterative scaling towards the counts of the labelled chain.
+        both = pair_counts(u[words], ends, pairs, *messages_)
         pairs += 0.5 * np.clip(np.log((k + 1) / (both + 1)), -1, 1)
         pairs -= pairs[0, 0]
         pairs = np.clip(pairs, -4, 4)
@@ -207,15 +243,6 @@ def fit(sample: list[tuple[bytes, int]], rounds: int = 30) -> Tagger:
     return Tagger(weights, pairs, _logistic(np.minimum(expected, 3), np.array([y for _, y in sample], float)))
 
 
-def _pair_counts(scores: np.ndarray, ends: np.ndarray, pairs: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected numbers of tag pairs in the chain, from neighbouring marginals and their pair potentials."""
-    within = np.ones(max(0, len(scores) - 1), bool)
-    within[ends[:-1] - 1] = False
-    a, b, e = p[:-1][within], p[1:][within], np.exp(pairs)
-    joint = np.stack([(1 - a) * (1 - b) * e[0, 0], (1 - a) * b * e[0, 1], a * (1 - b) * e[1, 0], a * b * e[1, 1]])
-    return (joint / joint.sum(0)).sum(1).reshape(2, 2)
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Intercept and slope by Newton steps with a small ridge; both labels weigh the same in total."""
     w = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
@@ -232,15 +259,20 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """At most `most` rows of each label outside the held-out part, the first by hash of doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """At most `most` rows of each label outside the held-out part and half of `most_bytes` of text, the first by hash of doc_id.
 
-    A doc_id that labels names more than once counts as toxic if any of its rows does.
+    A row that would exceed the bytes is left out as a whole. A doc_id that labels names
+    more than once counts as toxic if any of its rows does; of differing texts of one
+    doc_id the least is read.
     """
     one = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * most rows of two numbers
-    rows = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
+    found = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # 2 * most rows
+    sized = found.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).withColumn("sum", F.sum(F.when(F.col("size") <= most_bytes // 2, F.col("size")).otherwise(0)).over(w))
+    rows = sized.where((F.col("size") <= most_bytes // 2) & (F.col("sum") <= most_bytes // 2)).orderBy("doc_id").select("text", "toxic").collect()
     return [((r["text"] or "").encode(), r["toxic"]) for r in rows]
 
 
@@ -261,9 +293,9 @@ class _Scorer:
             weights = np.zeros(BUCKETS)
             weights[self.some] = self.values
             self.known = _Scores(weights)
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        rows = [np.fromiter(map(self.known.__getitem__, w := t.split()), float, len(w)) for t in texts]
+        pieces = [t.split() for t in texts]
+        self.known.learn({p for ps in pieces for p in ps})
+        rows = [np.frombuffer(b"".join(map(self.known.__getitem__, ps)), "<f8") for ps in pieces]
         sizes = np.array([len(r) for r in rows], int)
         full = np.flatnonzero(sizes)
         ends = np.cumsum(sizes[full])
@@ -272,6 +304,10 @@ class _Scorer:
         expected[full] = likely(p, ends)
         return Tagger(self.known.weights, self.pairs, self.scale).document(expected), np.split(p, np.cumsum(sizes)[:-1])
 
+    def forget(self) -> None:
+        self.known = None
+        give_back()
+
 
 def score(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= 0.3) and spans: code point offsets of words whose toxic marginal is over a half.
@@ -283,37 +319,46 @@ def score(docs: DataFrame, tagger: Tagger) -> DataFrame:
     schema = "doc_id long, score double, predicted int, spans array<struct<start: int, end: int>>"
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     scorer = _Scorer(tagger)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 texts = binary_column(part, "text")
                 s, each = scorer(texts)
                 spans = [_spans(t, q) if len(q) and q.max() > 0.5 else [] for t, q in zip(texts, each)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= REJECT).astype(np.int32)), pa.array(spans, kinds)], names=["doc_id", "score", "predicted", "spans"])
+        scorer.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _spans(text: bytes, q: np.ndarray) -> list[dict[str, int]]:
-    out, at, chars = [], 0, 0
-    for found, toxic in zip(re.finditer(rb"[^\x20\x09-\x0d]+", text), q > 0.5):
-        if toxic:
+    """Code point offsets of the words of a text whose marginal in q is over a half."""
+    out, at, chars, k = [], 0, 0, 0
+    for found in re.finditer(rb"[^\x20\x09-\x0d]+", text):
+        n = len(words_of(found[0]))
+        if (q[k : k + n] > 0.5).any():
             chars += len(text[at : found.start()].decode())
-            at = found.start()
-            out.append({"start": chars, "end": chars + len(found[0].decode())})
+            at, piece = found.start(), found[0].decode()
+            runs = [x.span() for x in _LETTERS.finditer(piece)] if len(piece.lower()) == len(piece) else []
+            runs = runs if len(runs) == n else [(0, len(piece))] * n  # letters that lower-case to several
+            out += [{"start": chars + a, "end": chars + b} for (a, b), p in zip(runs, q[k : k + n]) if p > 0.5]
+        k += n
     return out
 
 
 def reject(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """The documents whose score is below the threshold, with all their columns; rows are scored in place, without a join."""
     scorer = _Scorer(tagger)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 yield part.filter(pa.array(scorer(binary_column(part, "text"))[0] < REJECT))
+        scorer.forget()
 
     return docs.mapInArrow(run, docs.schema)
