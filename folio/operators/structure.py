@@ -43,3 +43,18 @@ def boundary_counts(text: Column) -> Column:
             yield pa.array(rows, pa.struct([(k, pa.int64()) for k in RANKS]))
 
     return run(text)
+
+
+def soft_wraps(text: Column) -> Column:
+    """How many line breaks of a text only wrap a sentence; a null gives null."""
+
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for t in batch.to_pylist():
+                lines = [t[x.start : x.end] for x in md.split_lines(t)] if t is not None else []
+                out.append(None if t is None else sum(splitting.soft_wrap(a, b) for a, b in zip(lines, lines[1:])))
+            yield pa.array(out, pa.int64())
+
+    return run(text)

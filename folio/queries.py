@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as fn
 from folio.operators.split import split_documents
+from folio.operators.structure import soft_wraps
 from folio.plans.splitting import Options
 
 PLAIN = Options(500, 50)
@@ -119,12 +120,9 @@ def gfm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_regionkey", fn.gfm_table(F.col("rows")).alias("markdown"), fn.gfm_table_size(F.col("rows")).alias("bytes"))
 
 
-def soft_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line breaks that only wrap a sentence, by document."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    pairs = F.transform(F.slice("lines", 2, F.greatest(F.lit(0), F.size("lines") - 1)), lambda x, i: F.struct(F.get("lines", i).alias("a"), x.alias("b")))
-    wraps = F.filter(pairs, lambda p: ~F.rlike(p["a"], F.lit(r"(  |\\)$")) & F.rlike(p["a"], F.lit(r"[\p{L}\p{N}][ \t]*$")) & F.rlike(p["b"], F.lit(r"^[ \t]*[\p{L}\p{N},.;:!?)]")))
-    return lines.select("doc_id", F.size(wraps).cast("long").alias("wraps"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", soft_wraps(F.col("text")).alias("wraps"))
 
 
 #: Characters of a window of sections, and ids of a run whose lengths are summed first.
@@ -169,7 +167,7 @@ QUERIES = {
     "paragraph_escape": paragraph_escape,
     "cell_escape": cell_escape,
     "gfm_table": gfm_table,
-    "soft_wraps": soft_wraps,
+    "soft_wraps": wraps,
     "sections_in": sections_in,
 }
 
