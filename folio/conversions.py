@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +13,7 @@ from folio.operators.convert import convert_and_split, convert_documents, conver
 from folio.operators.split import split_documents
 from folio.operators.structure import boundary_counts, line_kinds
 from folio.plans.splitting import Options
+from folio.shared import shared_dir
 from folio.sources.base import Limits
 from folio.sources.formats import all_formats
 
@@ -36,12 +36,6 @@ def joined(rows: Column, by: str = "") -> Column:
     return F.array_join(ordered(rows), by)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own under spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
-
-
 # Texts
 
 
@@ -76,9 +70,8 @@ def convert_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def output_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversions whose Markdown is over a limit, which counts bytes and is exact."""
     events = spread(table(spark, sf_dir, "events"))
-    d = convert_documents(events, content="props", fmt="fmt", registry=all_formats(Limits(output=48)), keep=["event_id"]) if "fmt" in events.columns else None
     rows = events.withColumn("fmt", F.lit("json"))
-    d = d or convert_documents(rows, content="props", fmt="fmt", registry=all_formats(Limits(output=48)), keep=["event_id"])
+    d = convert_documents(rows, content="props", fmt="fmt", registry=all_formats(Limits(output=48)), keep=["event_id"])
     return d.select("event_id", F.coalesce(F.octet_length("markdown"), F.lit(0)).cast("long").alias("bytes"), F.col("error.message").alias("error"))
 
 
@@ -297,7 +290,7 @@ def golden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that arrive as a stream, split and appended as Parquet: where each text's last chunk ends."""
-    home = shared_folder(spark, "stream")
+    home = f"{shared_dir(spark)}/folio-stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "documents").select("doc_id", "text").write.parquet(f"{home}/in")
     docs = spark.readStream.schema("doc_id long, text string").parquet(f"{home}/in")
     chunks = split_documents(docs, Options(500, 50))
