@@ -5,9 +5,11 @@ a bitset keyed by free space. A piece goes to the fullest open sequence that sti
 holds it (the lowest set bit at or above its length); with none, a new sequence
 opens, and beyond the fixed number the fullest closes first.
 
-One narrow pass: no shuffle, memory bounded by the open bins and one Arrow batch.
+Texts are packed in one narrow pass: no shuffle of them, memory bounded by the open bins, one Arrow batch and the
+ids of recent words (recent.py), which a task gives back at its end.
 Each task packs its own input split, so a lost task repeats only itself and numbers
-its sequences as before (partition id in the high bits).
+its sequences as before (partition id in the high bits). The sequences that splits leave
+well under full are packed once more as wholes, by the same rule: only numbers move then.
 """
 
 from __future__ import annotations
@@ -20,13 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from folio.llm.text import binary_column
+from folio.llm.recent import Recent, give_back, small_batches
+from folio.llm.scratch import Scratch
+from folio.llm.text import binary_column, slices
 
 SEQUENCE = 4096
 OPEN_BINS = 1024
 END_ID = 1
-_CACHE = 1_200_000
+#: Words of one of two generations that a task remembers: some 80 MB at most.
+WORDS = 200_000
+#: Sequences filled to less than this share are packed again, so many in a task.
+UNDER, TOGETHER = 0.95, 200_000
 _PUNCTUATION = b".,;:!?()[]{}\"#$%&*+-/=@^_`~|"
 
 
@@ -65,7 +73,7 @@ class OpenBins:
         return seq, self.size - free
 
 
-class WordIds(dict):
+class WordIds(Recent):
     """White-space separated piece of a text to its ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space and no pre-token spans it, so the ids of a text are
@@ -75,7 +83,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(WORDS)
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
@@ -83,9 +91,7 @@ class WordIds(dict):
         self.final[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
     def learn(self, pieces: list[bytes]) -> None:
-        if len(self) > _CACHE:
-            self.clear()
-        new = {p for p in pieces if p not in self}
+        new = self.missing(set(pieces))
         if not new:
             return
         split, bare = {}, set()
@@ -140,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, open_bins: i
             _ids[tokenizer] = WordIds(tokenizer)
         enc, bins, base = _ids[tokenizer], OpenBins(sequence, open_bins), TaskContext.get().partitionId() << 33
         end, width = np.asarray([END_ID], "<u4").tobytes(), 4 * sequence
-        for batch in batches:
+        for batch in slices(batches, 1000):
             out: list[list] = [[] for _ in range(7 + with_ids)]
             for doc, text in zip(batch.column(0).to_pylist(), binary_column(batch, "text")):
                 raw = enc.encode(text) + end
@@ -153,5 +159,31 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, open_bins: i
                         out[7].append(np.frombuffer(part, "<u4").astype(np.int32))
             types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[x.split()[0] for x in schema.split(", ")])
+        enc.forget()
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def repacked(rows: DataFrame, scratch: Scratch, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
+    """The saved rows of `pack`, in which sequences well under full share a sequence where they fit, the longest first."""
+    loose = scratch.save(rows.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < UNDER * sequence), "loose")
+    tasks = 1 + loose.count() // TOGETHER
+    dealt = loose.repartition(tasks, "sequence_id").sortWithinPartitions(F.desc("used"), "sequence_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, base = OpenBins(sequence, open_bins), 1 << 62 | TaskContext.get().partitionId() << 33
+        for batch in batches:
+            places = [bins.place(n) for n in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([base + s for s, _ in places], pa.int64()), pa.array([at for _, at in places], pa.int64())], names=["sequence_id", "into", "shift"])
+
+    moved = dealt.mapInArrow(run, "sequence_id long, into long, shift long")
+    out = rows.join(moved, "sequence_id", "left")
+    new = {"sequence_id": F.coalesce("into", "sequence_id"), "offset": F.col("offset") + F.coalesce("shift", F.lit(0))}
+    return out.select(*[new[c].alias(c) if c in new else c for c in rows.columns])
+
+
+def pack_all(docs: DataFrame, tokenizer: str, scratch: Scratch, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
+    """`pack`, and what it leaves loose packed again."""
+    return repacked(scratch.save(pack(docs, tokenizer, sequence, open_bins), "packed"), scratch, sequence, open_bins)

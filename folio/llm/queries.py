@@ -55,7 +55,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packing.pack_all(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), Scratch(spark))
 
 
 def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,15 @@ def rows(df):
     return sorted(df.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
 
 
-def test_packing(docs, texts):
+@pytest.mark.parametrize("again", [False, True])
+def test_packing(docs, texts, scratch, again):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     got, places = {}, {}
-    for r in packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), path, with_ids=True).collect():
+    packed = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).repartition(20), path, with_ids=True)
+    for r in (packing.repacked(scratch.save(packed), scratch) if again else packed).collect():
         got.setdefault(r["doc_id"], []).append(r)
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
         assert zlib.crc32(np.asarray(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
@@ -35,11 +37,13 @@ def test_packing(docs, texts):
             assert offset == at
             at += length
         assert at <= 4096
+    if again:
+        assert sum(r["length"] for rows_ in got.values() for r in rows_) > 0.9 * 4096 * (len(places) - 1)
 
 
-def test_packing_of_odd_rows_and_fill(docs, empty, spark):
+def test_packing_of_odd_rows_and_fill(docs, empty, spark, scratch):
     path = queries.tokenizer("word_bpe_49k.json")
-    assert packing.pack(empty, path).count() == 0
+    assert packing.pack(empty, path).count() == 0 and packing.pack_all(empty, path, scratch).count() == 0
     got = packing.pack(docs, path).collect()
     assert sum(r["piece"] == 0 for r in got) == docs.count() and any(r["doc_id"] is None for r in got)
     got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), path).collect()
