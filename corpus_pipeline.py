@@ -37,7 +37,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document and its place in a sequence."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack_all(docs, tokenizer("word_bpe_49k.json"), Scratch(spark))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
