@@ -15,10 +15,8 @@ ALIASES = {"markdown": "md", "htm": "html", "yml": "yaml", "text": "txt"}
 def format_name(name: Column) -> Column:
     """A format name without white space around it and a leading dot, in lower case, its alias resolved."""
     bare = F.lower(F.regexp_replace(F.regexp_replace(name, f"^[{SPACES}]+|[{SPACES}]+$", ""), r"^\.", ""))
-    out = bare
-    for alias, real in ALIASES.items():
-        out = F.when(bare == alias, real).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, bare), bare)
 
 
 def format_of(path: Column) -> Column:

@@ -61,15 +61,14 @@ class Plan:
     def __init__(self, registry: Registry, content: Column | str, fmt: Column | str | None, name: Column | str | None, charset: Column | str | None, base_url: Column | str | None):
         data = (F.col(content) if isinstance(content, str) else content).cast("binary")
         self.format = format_name(_text(fmt)) if fmt is not None else format_of(_text(name))
-        known = self.format.isin(registry.formats())
         limits = {f: own.filled(registry.limits).effective().source for f, (_, own) in registry.converters.items()}
-        limit = F.lit(-1).cast("long")
-        for f, most in limits.items():
-            limit = F.when(self.format == f, F.lit(most).cast("long")).otherwise(limit)
+        # Null for a format without a converter.
+        limit = F.try_element_at(F.create_map(*[x for f, most in limits.items() for x in (F.lit(f), F.lit(most).cast("long"))]), self.format) if limits else F.lit(None).cast("long")
+        known = limit.isNotNull()
         large = (limit >= 0) & (F.octet_length(data) > limit)
         none = F.lit(None).cast("string")
         error = lambda kind, which, most, message: F.struct(F.lit(kind).alias("class"), which.alias("limit"), most.alias("max"), message.alias("message"))
-        self.early = F.when(~F.coalesce(known, F.lit(False)), error("unsupported", none, F.lit(None).cast("long"), F.concat(F.lit("no converter for '"), F.coalesce(self.format, F.lit("")), F.lit("'")))).when(
+        self.early = F.when(~known, error("unsupported", none, F.lit(None).cast("long"), F.concat(F.lit("no converter for '"), F.coalesce(self.format, F.lit("")), F.lit("'")))).when(
             large, error("too_large", F.lit(SOURCE), limit, F.concat(F.lit(f"{SOURCE} limit of "), limit.cast("string"), F.lit(" exceeded")))
         )
         self.read = [self.format, F.when(F.coalesce(known & ~large, F.lit(False)), data), _text(name), _text(charset), _text(base_url)]
