@@ -155,18 +155,18 @@ def records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
         box = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(f.read(size)))
         left, end = b"", False
         while True:
-            one = box.decompressobj()
-            parts = []
+            one, parts, begun = box.decompressobj(), [], False
             while not one.eof:
                 if not left and not end:
                     left = f.read(1 << 20)
                     end = not left
                 if not left:
                     break
+                begun = True
                 parts.append(one.decompress(left))
                 left = one.unused_data if one.eof else b""
             if not one.eof:
-                if any(parts):
+                if begun:
                     raise ValueError(f"{path} ends inside a record")
                 return
             yield _parse(b"".join(parts))

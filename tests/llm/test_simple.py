@@ -314,6 +314,23 @@ def test_warc(spark, scratch):
     assert warc.archive(df.limit(0), scratch.path("warc"), scratch).count() == 0
 
 
+def test_warc_odd_rows(spark, scratch):
+    rows = [(None, "u", "<p>long enough to be shared</p>"), (8, "u", "<p>long enough to be shared</p>"), (9, "v", "<p>long enough to be shared</p>"), (9, "v", "<p>long enough to be shared</p>"), (3, "w", "short"), (4, "w", "short")]
+    files = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch.path("warc"), scratch, at_least=10)
+    got = sorted((r["page_id"] or -1, r["record_type"], r["refers_to"]) for r in warc.read(files).collect())
+    assert got == [(-1, "response", None), (3, "response", None), (4, "response", None), (8, "revisit", 9), (9, "response", None), (9, "response", None)]
+
+
+def test_damaged_archives_are_told(spark, scratch, tmp_path):
+    files = warc.archive(spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(30)], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}", scratch)
+    path = files.first()["path"].removeprefix("file://")
+    raw = open(path, "rb").read()
+    for bad in (raw[: len(raw) - 5], b"\0" * 20 + raw[20:], raw[:-40] + bytes(8) + raw[-32:]):
+        open(path, "wb").write(bad)
+        with pytest.raises(Exception):
+            list(warc.records(path))
+
+
 def test_warc_large_archive(spark, scratch):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, f"http://h/{i}", " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(2000))) for i in range(400)], "page_id long, url string, html string").coalesce(1)
