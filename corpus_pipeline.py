@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor
 kept. Between stages the documents are written as Parquet and read again.
+
+Null and empty texts pass every filter as texts without words. Equal rows are one document
+to the stages that compare documents; rows that repeat a doc_id with differing texts are
+edited each by itself, but stay or go together in near-dedup. A null doc_id is scored and
+packed, and otherwise left as it is. Empty tables give empty results; all columns of
+documents are kept until the last stage, and n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -16,27 +22,27 @@ from folio.llm.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the rejection threshold, by a tagger fitted on the labelled ones among them."""
+    """Documents whose score is below the rejection threshold, by a tagger fitted on the labelled ones among them; without labels all stay."""
     return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches."""
+    """All documents, without the lines that an earlier line matches; a document may lose all of its lines."""
     return line_dedup.dedup(docs, Scratch(spark))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest doc_id; those without words are no group."""
     return near_dedup.dedup(docs, Scratch(spark))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document holds."""
+    """All documents, without the passages of 50 words or more that earlier documents hold."""
     return substring_dedup.dedup(docs, Scratch(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document and its place in a sequence."""
+    """A row for each piece of a document and its place in a sequence; an empty text is a piece of the end id."""
     return packing.pack_all(docs, tokenizer("word_bpe_49k.json"), Scratch(spark))
 
 
