@@ -34,6 +34,9 @@ def outcome(registry: Registry, fmt: str | None, source: Source) -> tuple[str |
         return None, None, {"class": e.kind, "limit": e.limit, "max": e.most, "message": str(e)}
     except ConvertError as e:
         return None, None, {"class": e.kind, "limit": None, "max": None, "message": str(e)}
+    except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError) as e:
+        # A source that a converter has no word for: one row's error, not the job's.
+        return None, None, {"class": "corrupt", "limit": None, "max": None, "message": f"{type(e).__name__}: {e}"}
 
 
 def _sources(*columns: pa.Array) -> Iterator[tuple[str | None, Source | None]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ NAMED_PARTS = set("xl/workbook.xml xl/sharedstrings.xml xl/styles.xml xl/theme/t
 CORE_TYPES = {"officeDocument", "worksheet", "sharedStrings", "styles", "theme"}
 CONTENT_TYPES = "[Content_Types].xml"
 _CHUNK = 1 << 16
+#: What the zip reader raises over damage.
+_BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError, ValueError, struct.error)
 
 
 class Element:
@@ -126,7 +129,7 @@ class Package:
             raise Encrypted("an encrypted document") if ENCRYPTION in data else Unsupported("a binary Office format")
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(data))
-        except (zipfile.BadZipFile, ValueError, NotImplementedError, OSError) as e:
+        except _BROKEN as e:
             raise Corrupt(f"no package: {e}") from e
         self.budget, self.most = Budget(EXPANDED, most), most
         self.parts: dict[str, zipfile.ZipInfo] = {}
@@ -149,7 +152,7 @@ class Package:
                 while data := f.read(_CHUNK):
                     budget.charge(len(data))
                     yield data
-        except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError) as e:
+        except _BROKEN as e:
             raise Corrupt(f"{name}: {e}") from e
 
     def read(self, name: str, budget: Budget | None = None) -> Element | None:
@@ -201,7 +204,7 @@ class Package:
                 head = f.read(_CHUNK).removeprefix(b"\xef\xbb\xbf").lstrip(b" \t\r\n")
                 while not head and (more := f.read(_CHUNK)):
                     head = more.lstrip(b" \t\r\n")
-        except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError):
+        except _BROKEN:
             return False
         return head.startswith(b"<")
 

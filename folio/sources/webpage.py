@@ -34,12 +34,12 @@ _LINE_START = re.compile(r"(?m)^(#{1,6}(?= |$)|>|[-+](?= |$)|=+$|-{3,}$|~~~)|^(\
 
 
 class Node:
-    """An element with its children, which are nodes and strings."""
+    """An element with its children, which are nodes and strings; home: the children it is one of."""
 
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "home")
 
     def __init__(self, tag: str, attrs: list[tuple[str, str | None]] = ()):
-        self.tag, self.children = tag, []
+        self.tag, self.children, self.home = tag, [], None
         self.attrs: dict[str, str] = {}
         for k, v in attrs:
             self.attrs.setdefault(k, v or "")
@@ -55,9 +55,6 @@ class Node:
             yield node
             stack.extend(reversed(list(node.elements())))
 
-    def holds(self, tag: str) -> bool:
-        return any(n.tag == tag for c in self.elements() for n in c.walk())
-
 
 class _Tree(HTMLParser):
     """Builds a tree from tags as they come: what browsers imply is implied, and open formatting goes on in the next block."""
@@ -117,6 +114,14 @@ class _Tree(HTMLParser):
             self.open.append(node)
             self.active[k] = node
 
+    def _remember(self, node: Node) -> None:
+        """Formatting that goes on in later blocks; of alike elements the last three do, as browsers have it."""
+        begin = max((k for k, n in enumerate(self.active) if n is None), default=-1) + 1
+        alike = [k for k in range(begin, len(self.active)) if self.active[k].tag == node.tag and self.active[k].attrs == node.attrs]
+        if len(alike) > 2:
+            del self.active[alike[0]]
+        self.active.append(node)
+
     def _append(self, child: Node | str) -> None:
         """Adds to the innermost element; what may not stand in a table goes before it."""
         at = len(self.open) - 1
@@ -127,10 +132,13 @@ class _Tree(HTMLParser):
                 return
             while at and self.open[at].tag != "table":
                 at -= 1
-            home = self.open[at - 1].children
+            home = self.open[at].home
             home.insert(home.index(self.open[at]), child)
-            return
-        self.open[min(at, DEEPEST)].children.append(child)
+        else:
+            home = self.open[min(at, DEEPEST)].children
+            home.append(child)
+        if isinstance(child, Node):
+            child.home = home
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "head", "body"):
@@ -160,7 +168,7 @@ class _Tree(HTMLParser):
         if tag not in VOID:
             self.open.append(node)
             if tag in FORMATTING:
-                self.active.append(node)
+                self._remember(node)
             elif tag in ("td", "th", "caption"):
                 self.active.append(None)
 
@@ -324,12 +332,20 @@ class Renderer:
     def __init__(self, limits: Limits, base_url: str | None):
         self.base, self.limits, self.budget = base_url or "", limits, Budget(EXPANDED, limits.expanded)
         self.grids: dict[int, list[list[Node | None]]] = {}
+        self.with_block: set[int] = set()
+        self.with_table: set[int] = set()
 
     def prepare(self, root: Node) -> None:
-        """Grids of the tables that hold no table, in the order in which tables end."""
+        """What lies below each element, and grids of the tables that hold no table, in the order in which tables end."""
         for node in reversed(list(root.walk())):
-            if node.tag == "table" and not node.holds("table"):
+            below = [id(c) for c in node.elements()]
+            if node.tag in BLOCK and node.tag not in HIDDEN or any(k in self.with_block for k in below):
+                self.with_block.add(id(node))
+            table_below = any(k in self.with_table for k in below)
+            if node.tag == "table" and not table_below:
                 self.grids[id(node)] = grid(node, self.budget, len(self.base.encode()))
+            if node.tag == "table" or table_below:
+                self.with_table.add(id(node))
 
     def address(self, raw: str) -> str:
         target = urljoin(self.base, raw.strip()) if self.base else raw.strip()
@@ -421,9 +437,7 @@ class Renderer:
     # Blocks
 
     def is_block(self, node: Node | str) -> bool:
-        if isinstance(node, str) or node.tag in HIDDEN:
-            return False
-        return node.tag in BLOCK or any(n.tag in BLOCK for n in node.walk())
+        return not isinstance(node, str) and node.tag not in HIDDEN and id(node) in self.with_block
 
     def blocks(self, children: list) -> list[str]:
         out: list[str] = []

@@ -404,3 +404,23 @@ def test_pdf_that_an_empty_password_opens():
 def test_plain_records_are_lazy():
     rows = plain.records("a,b\n" * 3)
     assert next(rows) == ["a", "b"]
+
+
+def test_damaged_sources_raise_nothing_else():
+    import random
+
+    from folio import conversions as c
+
+    rng, nations = random.Random(7), [{"key": k, "name": f"N{k}", "region": "R"} for k in range(1, 5)]
+    seeds = {"docx": c.word_of(nations), "pptx": c.deck_of(nations), "xlsx": c.book_of(nations), "pdf": c.pdf_of(nations), "csv": b'a,"b""c"\n\n"x\ny",z'}
+    seeds["html"] = b"<table><tr><td rowspan=2>a<u><table><td>b</u><ul><li>x<p>y<b>z<tr><td colspan=3>q</table><pre>k</pre><blockquote>t<a href=x>l</a>"
+    for fmt, data in seeds.items():
+        for _ in range(150):
+            b = bytearray(data)
+            for _ in range(rng.randrange(1, 6)):
+                k = rng.randrange(len(b))
+                b[k : k + rng.randrange(12)] = rng.choice([b"", b"<", b">", b"<table>", b"</td>", b"<<", b"[", b"(", b"-1", b"99999999999", bytes([rng.randrange(256)])])
+            try:
+                run(fmt, bytes(b))
+            except (Corrupt, Encrypted, Unsupported, TooLarge):
+                pass
