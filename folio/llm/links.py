@@ -26,18 +26,19 @@ BLOCK = 2048
 
 #: A key of more than one row in HOT is hot: there are fewer than HOT such keys in any table.
 HOT = 2000
-#: Slots of a map of keys, by hash: 2 MB as bits, whatever the number of keys.
-SLOT_BITS = 24
+#: A map of keys by hash has SPARE slots for each key, but no less than 2 ** LEAST_BITS and no more than 2 ** SLOT_BITS: 8 MB as bits.
+SPARE, LEAST_BITS, SLOT_BITS = 8, 20, 26
 _U = np.uint64
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """left joined with right, saved, which has one row for each key and in column n how many rows of left hold it.
 
     Rows of a hot key are dealt over SALTS parts, each of which gets a copy of the key's
-    one row; n is dropped. The keys that are hot, fewer than HOT, are broadcast.
+    one row; n is dropped. The keys that are hot, fewer than HOT, are broadcast. rows: the
+    sum of n, or more, if it is known.
     """
-    least = (right.agg(F.sum("n")).first()[0] or 0) / HOT
+    least = (right.agg(F.sum("n")).first()[0] or 0 if rows is None else rows) / HOT
     hot = right.where(F.col("n") > least).select(*on, F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c, t in left.dtypes if c not in on and t != "binary"]), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
@@ -56,8 +57,8 @@ def mixed(*keys: np.ndarray) -> np.ndarray:
 class Slots:
     """A map of keys by hash, as bits: a key that was put in is found, another is with the share of slots that are in use.
 
-    So it may only choose what is worth a look. It has the same size for any number of
-    keys; with very many, all slots are in use and everything is looked at.
+    So it may only choose what is worth a look. Its size has a bound; with more keys than
+    that serves, all slots are in use and everything is looked at.
     """
 
     def __init__(self, words: np.ndarray):
@@ -68,18 +69,29 @@ class Slots:
         return self.words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1) > 0
 
 
-def slots(keys: DataFrame) -> Slots:
-    """The map of the rows of integer columns. Each task and the driver hold one map."""
-    bits = SLOT_BITS
+def slots(keys: DataFrame, within: Slots | None = None, by: int = 0, rows: int | None = None) -> Slots:
+    """The map of the rows of integer columns. Each task and the driver hold one map.
+
+    within: only rows that are, or seem to be, in another map; by: its keys are so many
+    leading columns, and the other columns make this map's, or all columns make both.
+    rows: how many keys there are, about, if it is known; else they are counted.
+    """
+    count = keys.count() if rows is None else rows
+    bits = min(SLOT_BITS, max(min(LEAST_BITS, SLOT_BITS), (SPARE * count).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
+        words = np.zeros(1 << bits - 6, np.uint64)
         for batch in batches:
             if batch.num_rows:
-                seen[(mixed(*(c.to_numpy() for c in batch.columns)) >> _U(64 - bits)).astype(np.int64)] = True
-        words = np.packbits(seen, bitorder="little").view(np.int64)
+                cols = [c.to_numpy() for c in batch.columns]
+                known, own = (cols[:by], cols[by:]) if by else (cols, cols)
+                slot = mixed(*own) >> _U(64 - bits)
+                slot = np.unique(slot if within is None else slot[within.has(*known)])
+                word, first = np.unique(slot >> _U(6), return_index=True)
+                if len(word):
+                    words[word.astype(np.int64)] |= np.bitwise_or.reduceat(_U(1) << (slot & _U(63)), first)
         some = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(words[some])], names=["word", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(words[some].view(np.int64))], names=["word", "bits"])
 
     found = keys.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(1 << bits - 6, np.int64)
@@ -87,14 +99,15 @@ def slots(keys: DataFrame) -> Slots:
     return Slots(words.view(np.uint64))
 
 
-def found_in(keys: DataFrame, known: Slots) -> DataFrame:
-    """The rows of integer columns that are, or seem to be, in the map."""
+def found_in(rows: DataFrame, known: Slots, *columns: str) -> DataFrame:
+    """The rows whose integer columns (all, unless some are named) are, or seem to be, in the map."""
+    at = [rows.columns.index(c) for c in columns or rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(known.has(*(c.to_numpy() for c in batch.columns)))) if batch.num_rows else batch
+            yield batch.filter(pa.array(known.has(*(batch.column(k).to_numpy() for k in at)))) if batch.num_rows else batch
 
-    return keys.mapInArrow(run, keys.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -319,16 +332,20 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = scratch.save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = scratch.save(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component"), F.count("*").alias("n")), "labels")
+    rows = edges.count()
     while True:
-        near = hot_join(edges, labels.withColumnRenamed("id", "b"), ["b"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"), "n")
-        step = scratch.save(step, "step")
-        heads = step.groupBy("component").agg(F.count("*").alias("n")).join(labels.select(F.col("id").alias("component"), F.col("component").alias("up")), "component")
+        near = hot_join(edges, labels.withColumnRenamed("id", "b"), ["b"], rows=rows).groupBy("a").agg(F.min("component").alias("near"))
+        new = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"), "n")
+        new = scratch.save(new, "step")
+        heads = new.groupBy("component").agg(F.count("*").alias("n")).join(labels.select(F.col("id").alias("component"), F.col("component").alias("up")), "component")
         heads = scratch.save(heads.where("up < component"), "heads")
-        told = hot_join(step.select("id", "old", F.col("n").alias("links"), "component"), heads, ["component"], "left")
-        new = scratch.save(told.select("id", F.least("component", "up").alias("component"), F.col("links").alias("n"), "old"), "labels")
+        if heads.limit(1).count():
+            step = new
+            told = hot_join(step.select("id", "old", F.col("n").alias("links"), "component"), heads, ["component"], "left", rows)
+            new = scratch.save(told.select("id", "old", F.least("component", "up").alias("component"), F.col("links").alias("n")), "labels")
+            scratch.drop(step)
         changed = new.where(F.col("component") != F.col("old")).limit(1).count()
-        scratch.drop(labels, step, heads)
+        scratch.drop(labels, heads)
         path, labels = new._folio_path, new.select("id", "component", "n")
         labels._folio_path = path
         if not changed:
@@ -336,3 +353,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             out = labels.select("id", "component")
             out._folio_path = path
             return out
+
+
+def joined_up(group: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components (id, component) of links whose components `group` are known, with more links (a, b): only components that those touch are worked on."""
+    a, b = (group.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b")
+    above = components(scratch.save(between, "between"), scratch)
+    touched = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(group.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+    known = group.select("id", "component").union(touched)
+    up = above.select(F.col("id").alias("component"), F.col("component").alias("up"))
+    return scratch.save(known.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "joined")

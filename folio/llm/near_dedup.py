@@ -148,7 +148,7 @@ def near_links(docs: DataFrame, sig: DataFrame, classes: DataFrame, scratch: Scr
     mixed = open_.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("bucket")
     rest = open_.where("n > 2").join(mixed, "bucket").join(sketches.join(sets, "id"), "id").select("bucket", "nth", "id", "grp", "sketch", "bands", "items", "n")
     more = scratch.save(links.block_links(rest, likely), "more")
-    return links.components(found.union(more), scratch)
+    return links.joined_up(group, more, scratch)
 
 
 def only_sketches(classes: DataFrame, met: DataFrame) -> DataFrame:

@@ -98,8 +98,11 @@ def _chosen(ids: pa.Array, texts: list[bytes], tags: list[int], keep: np.ndarray
 
 
 def paragraphs(docs: DataFrame, copies: links.Slots | None = None, first: links.Slots | None = None) -> DataFrame:
-    """doc, no, word, words, h (hash of the shingle set), m (minima) of each paragraph of the documents but known copies."""
-    names = ["doc", "no", "word", "words", "h", *(f"m{b}" for b in range(BANDS))]
+    """doc, no, word, words, lo, hi, h (hash of the shingle set), m (minima) of each paragraph of the documents but known copies.
+
+    lo and hi: from where to where the paragraph and its neighbours reach.
+    """
+    names = ["doc", "no", "word", "words", "lo", "hi", "h", *(f"m{b}" for b in range(BANDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, tags in _parts(batches):
@@ -118,16 +121,19 @@ def paragraphs(docs: DataFrame, copies: links.Slots | None = None, first: links.
                 cols[0].append(np.full(len(starts), k, np.int64))
                 cols[1].append(np.arange(len(starts), dtype=np.int32))
                 cols[2].append(starts.astype(np.int32))
-                cols[3].append((np.concatenate([starts[1:], [len(wh)]]) - starts).astype(np.int32))
-                cols[4].append(mix(np.add.reduceat(s, idx)[::2]).view(np.int64))
+                stops = np.concatenate([starts[1:], [len(wh)]])
+                cols[3].append((stops - starts).astype(np.int32))
+                cols[4].append(np.concatenate([[0], starts[:-1]]).astype(np.int32))
+                cols[5].append(np.concatenate([stops[1:], [len(wh)]]).astype(np.int32))
+                cols[6].append(mix(np.add.reduceat(s, idx)[::2]).view(np.int64))
                 for b in range(BANDS):
-                    cols[5 + b].append(mix(np.minimum.reduceat(s * _A[b], idx)[::2] + _U(b)).view(np.int64))
+                    cols[7 + b].append(mix(np.minimum.reduceat(s * _A[b], idx)[::2] + _U(b)).view(np.int64))
             if cols[0]:
                 arrays = [pa.array(np.concatenate(c)) for c in cols]
                 arrays[0] = _docs(ids, tags).take(arrays[0])
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = f"doc {_DOC}, no int, word int, words int, h long, " + ", ".join(f"m{b} long" for b in range(BANDS))
+    schema = f"doc {_DOC}, no int, word int, words int, lo int, hi int, h long, " + ", ".join(f"m{b} long" for b in range(BANDS))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -260,6 +266,16 @@ def _stretched(runs: DataFrame, words: DataFrame) -> DataFrame:
     return rows.select("doc", "kept", "runs", "own", "theirs").mapInArrow(run, f"doc {_DOC}, kept {_DOC}, start int, end int, kept_start int")
 
 
+def _promising(runs: DataFrame, least: int) -> DataFrame:
+    """The runs that, stretched and joined, may come to `least` words: up to the ends of the paragraphs around them, as further ones do not match."""
+    w = Window.partitionBy("doc").orderBy("lo", F.desc("hi"), "other", "run")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("lo") <= F.col("before"), 0).otherwise(1)).over(w)
+    rows = runs.withColumn("before", before).withColumn("island", island)
+    whole = Window.partitionBy("doc", "island")
+    return rows.withColumn("reach", F.max("hi").over(whole) - F.min("lo").over(whole)).where(F.col("reach") >= least)
+
+
 def _passages(stretched: DataFrame) -> DataFrame:
     """Runs that overlap or touch as one, with the document that holds the longest of them. A window holds the runs of one document."""
     w = Window.partitionBy("doc").orderBy("start", F.desc("end"), "kept")
@@ -276,31 +292,35 @@ def passages(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame
     copies, known, others = whole_copies(docs, scratch)
     parts = scratch.save(paragraphs(docs, known, others), "paragraphs")
     at = F.struct("doc", "no", "word", "words")
-    classes = parts.groupBy("h").agg(F.min(at).alias("first"), (F.min("doc.doc_id") < F.max("doc.doc_id")).alias("across"), F.count("*").alias("n"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)])
+    classes = parts.groupBy("h").agg(F.min(at).alias("first"), F.max("doc.doc_id").alias("last"), F.count("*").alias("n"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)])
     classes = scratch.save(classes, "classes")
     met = scratch.save(_met(classes), "met")
     pairs = scratch.save(_candidates(met), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    homes = classes.select(F.col("h").alias("id"), "first.doc", "first.no").join(ids.hint("merge"), "id", "left_semi").select("doc.doc_id", "doc.tag", "no")
-    sets = scratch.save(paragraph_sets(docs, links.slots(homes)).groupBy("id").agg(F.min("items").alias("items")), "sets")
+    tried = links.slots(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    homes = links.slots(classes.select("h", "first.doc.doc_id", "first.doc.tag", "first.no"), tried, by=1, rows=pairs.count())
+    sets = scratch.save(paragraph_sets(docs, homes).groupBy("id").agg(F.min("items").alias("items")), "sets")
     near = links.verified(pairs, sets, scratch)
-    more = scratch.save(_more_links(met, sets, links.components(near, scratch)), "more")
+    group = links.components(near, scratch)
+    more = scratch.save(_more_links(met, sets, group), "more")
     scratch.drop(met, pairs, sets)
-    group = links.components(near.union(more), scratch)
-    linked = classes.join(group, classes["h"] == group["id"])
+    group = links.joined_up(group, more, scratch)
+    # Of all classes only those with a link, or in several documents, go on; then of all paragraphs only those of such classes.
+    some = links.found_in(classes.select("h", "first", "n"), links.slots(group.select("id")), "h")
+    linked = some.join(group, some["h"] == group["id"])
     head = linked.groupBy("component").agg(F.min("first").alias("first"))
     kept = linked.select("h", "n", "component").join(head, "component").select("h", "n", "first")
-    alone = classes.where("across").join(group, classes["h"] == group["id"], "left_anti").select("h", "n", "first")
+    alone = classes.where("first.doc.doc_id < last").join(group, classes["h"] == group["id"], "left_anti").select("h", "n", "first")
     kept = scratch.save(kept.unionByName(alone), "kept")
-    found = links.hot_join(parts.select("doc", "no", "word", "words", "h"), kept, ["h"]).where(F.col("first.doc.doc_id") != F.col("doc.doc_id"))
+    scratch.drop(classes)
+    found = links.hot_join(links.found_in(parts.select("doc", "no", "word", "words", "lo", "hi", "h"), links.slots(kept.select("h")), "h"), kept, ["h"]).where(F.col("first.doc.doc_id") != F.col("doc.doc_id"))
     # Islands of paragraphs of one document against one other: each window holds the paragraphs of one document.
     w = Window.partitionBy("doc", "other").orderBy("no")
-    rows = found.select("doc", F.col("first.doc").alias("other"), "no", "word", "words", F.col("first.word").alias("p"), F.col("first.words").alias("pw"))
+    rows = found.select("doc", F.col("first.doc").alias("other"), "no", "word", "words", "lo", "hi", F.col("first.word").alias("p"), F.col("first.words").alias("pw"))
     new = F.when((F.col("no") - F.lag("no").over(w) <= GAP) & (F.abs((F.col("word") - F.lag("word").over(w)) - (F.col("p") - F.lag("p").over(w))) <= SHINGLE), 0).otherwise(1)
     runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("doc", "other", "run").agg(
-        F.min("word").alias("a"), F.max(F.col("word") + F.col("words")).alias("b"), F.min_by("p", "no").alias("p"), F.max_by(F.col("p") + F.col("pw"), "no").alias("q")
+        F.min("word").alias("a"), F.max(F.col("word") + F.col("words")).alias("b"), F.min_by("p", "no").alias("p"), F.max_by(F.col("p") + F.col("pw"), "no").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
-    runs = scratch.save(runs.select("doc", F.col("other").alias("kept"), "a", "b", "p", "q"), "runs")
+    runs = scratch.save(_promising(runs, least).select("doc", F.col("other").alias("kept"), "a", "b", "p", "q"), "runs")
     need = links.slots(runs.select(F.explode(F.array("doc", "kept")).alias("doc")).select("doc.*").distinct())
     words = scratch.save(word_rows(docs, need).groupBy("doc").agg(F.min("hashes").alias("hashes")), "words")
     # A copy that the first pass looked at after all is told by `copies` alone.
