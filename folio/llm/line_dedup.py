@@ -25,6 +25,7 @@ of 0.75 or more. A line goes if any earlier line, by (doc_id, line), matches it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,14 @@ _U = np.uint64
 SLOT_BITS, HASH_BITS = 16, 50
 LOW_BITS = HASH_BITS - SLOT_BITS
 _MOST_LINES = 1 << (64 - HASH_BITS)
-_FLUSH = 1 << 18
+_FLUSH = 1 << 17
 _ENTRY = np.dtype([("doc", "<i8"), ("no", "<i8"), ("bits", "<u8", 2), ("upper", "<u8", 2), ("token", "<u4"), ("n", "<u4"), ("at", "<u4")])
 #: Lines with entries in one part, about: parts grow in number with the lines, not in size.
 PART_LINES = 1 << 17
 #: Rows of clusters that are compared at once; a pair of blocks is never divided.
 CHUNK = 1 << 12
+#: Pairs of entries that are tried at once.
+AT_ONCE = 1 << 17
 #: Lines of a block of a cluster.
 BLOCK = 512
 #: Lines of more tokens have parity maps of 256 bits, whose halves together are the map of 128.
@@ -257,7 +260,7 @@ def pairs_of(e: np.ndarray, node: np.ndarray | None = None) -> tuple[np.ndarray,
         rights.append(x[ok])
 
     def walk(x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
-        """Tries each of x with the short entries from start down to after stop."""
+        """Tries each of x with the short entries from start down to after stop: the nearest of all, the next of all, and so on; few that are left at once."""
         nonlocal label
         k, known = 0, 0
         while True:
@@ -265,6 +268,12 @@ def pairs_of(e: np.ndarray, node: np.ndarray | None = None) -> tuple[np.ndarray,
             x, start, stop = x[some], start[some], stop[some]
             if not len(x):
                 break
+            left = start - k - stop
+            total = int(left.sum())
+            if total <= AT_ONCE:
+                each = np.repeat(np.arange(len(x)), left)
+                attempt(x[each], short[(start - k)[each] - (np.arange(total) - np.repeat(np.cumsum(left) - left, left))])
+                break
             attempt(x, short[start - k])
             k += 1
             if label is not None and k & (k - 1) == 0:
@@ -286,31 +295,46 @@ def forest(dealt: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in links.runs(slices(batches, 64), 1):
             e = np.concatenate([unpacked(x) for x in blobs])
-            e = e[np.argsort(e["token"].astype(np.int64) << 31 | e["n"], kind="stable")]
-            names, node = np.unique(e[["doc", "no"]], return_inverse=True)
+            key = e["token"].astype(np.int64) << 31 | e["n"]
+            order = np.argsort(key, kind="stable")
+            token = key[order] >> 31
+            same = token[1:] == token[:-1]
+            e = e[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]  # tokens that several lines hold
+            ids, first, node = np.unique(links.mixed(e["doc"], e["no"]).view(np.int64), return_index=True, return_inverse=True)
             left, right = pairs_of(e, node)
-            label = labelled(np.arange(len(names)), node[left], node[right])
+            label = labelled(np.arange(len(ids)), node[left], node[right])
             some = np.unique(np.concatenate([node[left], node[right]]))
-            ids = links.mixed(names["doc"], names["no"]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[label[some]], ids[some], names["doc"][some], names["no"][some])], names=["a", "id", "doc_id", "no"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[label[some]], ids[some], e["doc"][first[some]], e["no"][first[some]])], names=["a", "id", "doc_id", "no"])
 
     return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "a long, id long, doc_id long, no long")
 
 
 def line_sets(docs: DataFrame, ranks: np.ndarray, wanted: links.Slots) -> DataFrame:
-    """(doc_id, no, items) of the lines with words that may be wanted."""
+    """(doc_id, no, items) of the lines with words that may be wanted; only their words are hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = batch.column(0).to_numpy()
-            for text, no, wh, owner in _lines(binary_column(batch, "text")):
-                keep = wanted.has(ids[text], no)[owner]
-                tokens, sizes = token_sets(wh[keep], owner[keep], len(text), ranks)
-                full = np.flatnonzero(sizes)
-                ends = np.cumsum(sizes)[full] * 8
-                raw = tokens.tobytes()
-                items = [raw[b - n : b] for b, n in zip(ends.tolist(), (8 * sizes[full]).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text[full]]), pa.array(no[full]), pa.array(items, pa.binary())], names=["doc_id", "no", "items"])
+            texts = binary_column(batch, "text")
+            parts = [t.split(b"\n") for t in texts]
+            size = np.array([len(x) for x in parts])
+            tags = np.array([text_tag(t) for t in texts], np.int64)
+            no = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) | np.repeat(tags << 32, size)
+            doc = np.repeat(batch.column(0).to_numpy(), size)
+            keep = np.flatnonzero(wanted.has(doc, no))
+            flat = list(chain.from_iterable(parts))
+            for a in range(0, len(keep), _MOST_LINES):
+                some = keep[a : a + _MOST_LINES]
+                lines = [flat[k] for k in some.tolist()]
+                sets, sizes = [], []
+                for piece in pieces(lines):
+                    wh, starts, _ = word_hashes(b"\n".join(piece))
+                    owner = np.searchsorted(np.cumsum([len(x) + 1 for x in piece]), starts, "right")
+                    tokens, n = token_sets(wh, owner, len(piece), ranks)
+                    raw, ends = tokens.tobytes(), (8 * np.cumsum(n)).tolist()
+                    sets += [raw[b - k : b] for b, k in zip(ends, (8 * n).tolist())]
+                    sizes.append(n)
+                full = np.flatnonzero(np.concatenate(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some[full]]), pa.array(no[some[full]]), pa.array([sets[k] for k in full.tolist()], pa.binary())], names=["doc_id", "no", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, no long, items binary")
 
@@ -338,12 +362,13 @@ def shared(tokens: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray)
 def cluster_links(members: DataFrame) -> DataFrame:
     """doc_id, no, links, first (the earliest linked line), root (the earliest line that links lead to), of lines with links, for each pair of blocks.
 
-    members: (bucket, n, id, doc_id, no, items): a cluster's lines, n of them.
+    members: (bucket, n, id, doc_id, no, items): a cluster's lines, n of them; rows may be repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, i, j, own, doc, no, items in links.chunks(batches, 3, CHUNK):
             order = np.lexsort((no, doc, j, i, bucket))
+            order = order[np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in (bucket, i, j, doc, no)], axis=0)])]  # repeated rows
             doc, no, own, items = doc[order], no[order], own[order], items[order]
             tokens = np.frombuffer(b"".join(items), np.uint64)
             sizes = np.array([len(x) // 8 for x in items])
@@ -378,14 +403,14 @@ def cluster_links(members: DataFrame) -> DataFrame:
 def linked_lines(docs: DataFrame, ranks: np.ndarray, again: DataFrame, groups: DataFrame, lines: int, scratch: Scratch) -> DataFrame:
     """(id, n_links, near, class) of the lines, each the first of its set, that match lines of other sets; near: the earliest of those."""
     repeats = links.slots(again.select("doc_id", "no"))
-    firsts = links.slots(links.found_in(groups.select("first.doc_id", "first.no"), repeats))
+    firsts = links.slots(groups.select("first.doc_id", "first.no"), repeats, rows=lines // links.SPARE)
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines // PART_LINES)
     met = scratch.save(forest(prefixes(docs, ranks, parts, repeats, firsts), parts), "met")
     ids = scratch.save(met.select("id", "doc_id", "no").distinct().join(again.select("doc_id", "no"), ["doc_id", "no"], "left_anti"), "ids")
     group = links.components(met.select("a", F.col("id").alias("b")).where("a <> b"), scratch)
     named = ids.join(group, "id", "left").withColumn("bucket", F.coalesce("component", "id"))
     many = named.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sets = line_sets(docs, ranks, links.slots(ids.select("doc_id", "no"))).groupBy("doc_id", "no").agg(F.min("items").alias("items"))
+    sets = line_sets(docs, ranks, links.slots(ids.select("doc_id", "no")))
     members = named.join(many, "bucket").join(sets, ["doc_id", "no"]).select("bucket", "n", "id", "doc_id", "no", "items")
     found = scratch.save(cluster_links(members), "links")
     a = F.struct("doc_id", "no")
