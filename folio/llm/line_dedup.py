@@ -282,7 +282,9 @@ def pairs_of(e: np.ndarray, node: np.ndarray | None = None) -> tuple[np.ndarray,
 
     # The first token that two similar lines share is among the first n // 7 + 1 of the shorter, and of both if they are equally
     # long; so each entry meets the short entries before it whose length is three quarters of its own or more.
-    walk(np.arange(len(e)), np.cumsum(is_short) - is_short - 1, np.searchsorted(key[short], token | -(-3 * n // 4)) - 1)
+    # Its position bounds what is left of it, and so the length that the other may have.
+    longest = np.searchsorted(key[short], token | np.maximum(7 * left_after // 3 - n, 0), "right") - 1
+    walk(np.arange(len(e)), np.minimum(np.cumsum(is_short) - is_short - 1, longest), np.searchsorted(key[short], token | -(-3 * n // 4)) - 1)
     return np.concatenate(lefts), np.concatenate(rights)
 
 

@@ -27,7 +27,7 @@ BLOCK = 2048
 #: A key of more than one row in HOT is hot: there are fewer than HOT such keys in any table.
 HOT = 2000
 #: A map of keys by hash has SPARE slots for each key, but no less than 2 ** LEAST_BITS and no more than 2 ** SLOT_BITS: 8 MB as bits.
-SPARE, LEAST_BITS, SLOT_BITS = 8, 20, 26
+SPARE, LEAST_BITS, SLOT_BITS = 16, 20, 26
 _U = np.uint64
 
 
