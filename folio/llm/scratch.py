@@ -6,11 +6,12 @@ them in executor memory, so a lost executor costs a re-read and not a re-run.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.recent import small_batches
+from folio.llm.recent import give_back, small_batches
 from folio.shared import shared_dir
 
 
@@ -30,13 +31,17 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        give_back()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._folio_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables. Shuffle files of plans that are gone go with the driver's next collection, so that is asked for too."""
         for df in frames:
             self.delete(df._folio_path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -163,13 +163,15 @@ class _Scores(Recent):
             at += 8 * len(fs)
 
 
-def _suspect(pos: Counter, neg: Counter, n_pos: int, n_neg: int) -> set[int]:
-    """Features that all but only toxic documents have: they label tokens, as labels are given for documents.
+def _suspect(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Which features all but only toxic documents have, by the numbers of documents that have them: they label tokens, as labels are given for documents.
 
     So many documents would all be toxic by chance once in a million features at most.
     """
-    least = np.log(1e6) / -np.log(n_pos / (n_pos + n_neg))
-    return {f for f, n in pos.items() if f and n >= max(3, least) and n / n_pos > TELLING * neg[f] / n_neg}
+    least = max(3, np.log(1e6) / -np.log(n_pos / (n_pos + n_neg)))
+    out = (pos >= least) & (pos / n_pos > TELLING * neg / n_neg)
+    out[0] = False
+    return out
 
 
 def _distinct(sample: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
@@ -184,6 +186,50 @@ def _distinct(sample: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     return out
 
 
+def _indexed(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, int]:
+    """(words of each text by number, word and feature of each pair of the two, number of words)."""
+    ids: dict[str, int] = {}
+    flat, sizes, docs = array("i"), array("i"), []
+    for text in texts:
+        words = array("i")
+        for w in (w for piece in text.split() for w in words_of(piece)):
+            if (k := ids.get(w)) is None:
+                k = ids[w] = len(ids)
+                found = features(w)
+                flat.extend(found)
+                sizes.append(len(found))
+            words.append(k)
+        docs.append(np.array(words, np.int32))
+    return docs, np.repeat(np.arange(len(ids), dtype=np.int32), np.array(sizes, np.int64)), np.array(flat, np.int32), len(ids)
+
+
+def _parts(docs: list[np.ndarray], most: int = 1 << 17) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(documents, their words end to end, one past each one's last word) of some words at a time; documents without words are left out."""
+    now, size = [], 0
+    for i, d in enumerate(docs):
+        if now and size + len(d) > most:
+            yield now, np.concatenate([docs[k] for k in now]), np.cumsum([len(docs[k]) for k in now])
+            now, size = [], 0
+        if len(d):
+            now.append(i)
+            size += len(d)
+    if now:
+        yield now, np.concatenate([docs[k] for k in now]), np.cumsum([len(docs[k]) for k in now])
+
+
+def _flagged(docs: list[np.ndarray], labels: list[int], wid: np.ndarray, fid: np.ndarray, n_words: int) -> np.ndarray:
+    """Which words have a feature that labels tokens."""
+    starts = np.searchsorted(wid, np.arange(n_words + 1))
+    held = np.zeros((2, BUCKETS))
+    for d, y in zip(docs, labels):
+        u = np.unique(d)
+        size = starts[u + 1] - starts[u]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[u], size)
+        held[y][np.unique(fid[at])] += 1
+    suspects = _suspect(held[1], held[0], sum(labels), len(labels) - sum(labels))
+    return np.bincount(wid, suspects[fid], n_words) > 0
+
+
 def fit(sample: list[tuple[bytes, int]], rounds: int = 30) -> Tagger:
     """A tagger from (text, label) rows; without both labels among them it scores every text by the share of label 1."""
     sample = _distinct([(t, y) for t, y in sample if y in (0, 1)])
@@ -194,52 +240,38 @@ def fit(sample: list[tuple[bytes, int]], rounds: int = 30) -> Tagger:
         weights[0] = -10
         p = (n_pos + 0.01) / (len(sample) + 0.1)
         return Tagger(weights, pairs, np.array([np.log(p / (1 - p)), 0.0]))
-    ids: dict[str, int] = {}
-    feats: list[list[int]] = []
-    docs, df = [], (Counter(), Counter())
-    for text, y in sample:
-        words = []
-        for w in (w for piece in text.split() for w in words_of(piece)):
-            if w not in ids:
-                ids[w] = len(feats)
-                feats.append(features(w))
-            words.append(ids[w])
-        docs.append(np.array(words, np.int64))
-        df[y].update({f for w in set(words) for f in feats[w]})
-    suspects = _suspect(df[1], df[0], n_pos, n_neg)
-    flag = np.array([any(f in suspects for f in fs) for fs in feats] or [False])
-    sizes = np.array([len(d) for d in docs])
-    full = [i for i in range(len(docs)) if sizes[i]]
-    words = np.concatenate([docs[i] for i in full]) if full else np.zeros(0, np.int64)
-    ends = np.cumsum(sizes[full])
-    y = np.repeat([sample[i][1] for i in full], sizes[full])
-    gold = (flag[words] & (y == 1)).astype(float)
-    wid = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    fid = np.concatenate([np.array(f) for f in feats]) if feats else np.zeros(0, np.int64)
-    within = np.ones(max(0, len(words) - 1), bool)
-    within[ends[:-1] - 1] = False
-    g, k = gold.astype(int), np.zeros((2, 2))
-    np.add.at(k, (g[:-1][within], g[1:][within]), 1)
+    docs, wid, fid, n_words = _indexed([t for t, _ in sample])
+    flag = _flagged(docs, [y for _, y in sample], wid, fid, n_words)
+    parts = list(_parts(docs))
+    gold = [flag[words] & (np.repeat([sample[i][1] for i in full], np.diff(ends, prepend=0)) == 1) for full, words, ends in parts]
+    k = np.zeros((2, 2))
+    for (_, _, ends), g in zip(parts, gold):
+        within = np.ones(len(g) - 1, bool)
+        within[ends[:-1] - 1] = False
+        np.add.at(k, (g[:-1][within].astype(int), g[1:][within].astype(int)), 1)
     weights[0] = -4.0
-    rate, n_words = np.full(BUCKETS, 1e-6), len(feats)
+    rate = np.full(BUCKETS, 1e-6)
     for _ in range(rounds):
         u = np.bincount(wid, weights[fid], n_words) + weights[0]
-        messages_ = messages(u[words], ends, pairs)
-        p = _share(*messages_)
-        err = np.bincount(words, gold - p, n_words)
+        err, both = np.zeros(n_words), np.zeros((2, 2))
+        for (_, words, ends), g in zip(parts, gold):
+            passed = messages(u[words], ends, pairs)
+            err += np.bincount(words, g - _share(*passed), n_words)
+            both += pair_counts(u[words], ends, pairs, *passed)
         grad = np.bincount(fid, err[wid], BUCKETS)
         grad[0] += err.sum()
         grad -= 0.02 * weights
         rate += grad * grad
         weights += grad / np.sqrt(rate)
         # Tag pairs: iterative scaling towards the counts of the labelled chain.
-        both = pair_counts(u[words], ends, pairs, *messages_)
         pairs += 0.5 * np.clip(np.log((k + 1) / (both + 1)), -1, 1)
         pairs -= pairs[0, 0]
         pairs = np.clip(pairs, -4, 4)
-    p = marginals((np.bincount(wid, weights[fid], n_words) + weights[0])[words], ends, pairs)
-    expected = np.zeros(len(docs))
-    expected[full] = likely(p, ends)
+    u, expected = np.bincount(wid, weights[fid], n_words) + weights[0], np.zeros(len(docs))
+    for full, words, ends in parts:
+        expected[full] = likely(marginals(u[words], ends, pairs), ends)
+    del parts, gold, u, docs, wid, fid
+    give_back()
     return Tagger(weights, pairs, _logistic(np.minimum(expected, 3), np.array([y for _, y in sample], float)))
 
 
