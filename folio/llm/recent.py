@@ -36,13 +36,15 @@ class Recent(dict):
         if len(self) > self.most:
             self.old = {k: v for k, v in self.items() if len(k) <= LONGEST}
             self.clear()
+        new = [k for k in keys if k not in self]
+        if not self.old:
+            return new
         out = []
-        for k in keys:
-            if k not in self:
-                if (v := self.old.get(k)) is None:
-                    out.append(k)
-                else:
-                    self[k] = v
+        for k in new:
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self[k] = v
         return out
 
     def forget(self) -> None:
